@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str = "rank") -> D
 def sliced(batch: pa.RecordBatch, column: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Pieces of an Arrow batch of about ``chars`` bytes of text, one row at least, so
     that a worker's memory is bounded by that and the longest text."""
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, size in enumerate(lengths):
         if total and total + size > chars:
