@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citelake.llm.linededup import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citelake.llm.pii import pii_digest
 
@@ -27,6 +33,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
     "op5_pii": op5_pii,
     "op8_packing": op8_packing,
 }
