@@ -32,10 +32,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citelake.llm.quality import scored
+
+    return scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op5_pii": op5_pii,
     "op8_packing": op8_packing,
+    "op10_quality": op10_quality,
 }
 
 #: DuckDB SQL where an operator's result can be expressed in it.
