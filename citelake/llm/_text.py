@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -35,8 +36,11 @@ class Hashes(dict):
         super().__init__()
         self.kept = kept
 
+    def value(self, word: str) -> int:
+        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
+
     def __missing__(self, word: str) -> int:
-        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
+        value = self.value(word)
         if len(self) >= self.kept:
             self.clear()
         self[word] = value
@@ -46,8 +50,26 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def flat(texts: list[str | None], hashes: Hashes, pattern: re.Pattern = TOKENS) -> tuple[np.ndarray, np.ndarray]:
+class Stems(Hashes):
+    """Hashes of the first letters of words, 0 for shorter ones and what isn't letters."""
+
+    def value(self, word: str) -> int:
+        return super().value(word[:4]) if len(word) > 4 and word.isalpha() else 0
+
+
+@functools.lru_cache(maxsize=1)
+def stems() -> Stems:
+    return Stems()
+
+
+@functools.lru_cache(maxsize=1)
+def hashes() -> Hashes:
+    """One memory of words for each worker process, for all its tasks."""
+    return Hashes()
+
+
+def flat(texts: list[str | None], known: Hashes, pattern: re.Pattern = TOKENS) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts in one array, and how many each text has."""
-    parts = [hashes.of(pattern.findall(t.lower())) if t else np.empty(0, np.uint64) for t in texts]
+    parts = [known.of(pattern.findall(t.lower())) if t else np.empty(0, np.uint64) for t in texts]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), sizes

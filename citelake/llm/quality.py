@@ -7,8 +7,9 @@ and the k largest sums make a draw without replacement.
 
 The models count every document.  Only which rows are known as target or as reject comes
 from a bounded sample of the labels (``LABELLED`` rows, by hash).  A bucket's ratio counts
-where the labelled target and the labelled rest differ beyond chance and in the same
-direction; elsewhere it is noise, or a passage copied often among the unlabelled.  ``k`` is
+where the labelled target lacks it, beyond chance, against the labelled rest; elsewhere it
+is noise, or a passage copied often among the unlabelled.  Ratios above one are truncated
+to one, so that no passage frequent in good text makes up for an insult.  ``k`` is
 the number of documents at or above the log weight that best parts labelled target from
 labelled rest.
 
@@ -28,12 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citelake.llm._common import materialize, sliced
-from citelake.llm._text import Hashes, flat, mixed, uniform
+from citelake.llm._text import TOKENS, hashes, mixed, stems, uniform
 
 #: Bound of the labelled rows used.
 LABELLED = 20_000
 BITS = 17
-BUCKETS = 2 * (1 << BITS) + 1
+STEMS = 1 << 14
+BUCKETS = 2 * (1 << BITS) + 1 + STEMS
 #: Counts of raw text that the target model borrows, per bucket.
 PRIOR = 0.02
 #: Standard errors beyond which a bucket's difference between the labelled counts.
@@ -41,79 +43,103 @@ SIGNIFICANT = 4.0
 TEMPERATURE = 0.1
 
 
-def buckets_of(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of several texts in one array, and each one's text.
+def buckets_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of several texts in one array, each one's text, and the
+    number of tokens of each text.
 
-    Words have the first half, pairs the second; a word equal to one of the two before
-    it has a bucket of its own, whatever the word."""
+    Words, pairs of words and first letters of words have ranges of their own, and so has
+    a word or pair that goes on repeating itself, whatever the word."""
+    found = [TOKENS.findall(t.lower()) if t else [] for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    known_words, known_stems = hashes(), stems()
+    tokens = np.concatenate([known_words.of(x) for x in found]) if found else np.empty(0, np.uint64)
+    stem = np.concatenate([known_stems.of(x) for x in found]) if found else tokens
     text = np.repeat(np.arange(len(sizes)), sizes)
     mask = np.uint64((1 << BITS) - 1)
     single = (mixed(tokens) & mask).astype(np.int64)
+    has = stem != 0
+    start = (stem[has] % np.uint64(STEMS)).astype(np.int64) + ((2 << BITS) + 1)
     if len(tokens) < 2:
-        return single, text
+        return np.concatenate([single, start]), np.concatenate([text, text[has]]), sizes
     pairs = (mixed(tokens[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:]) & mask).astype(np.int64) + (1 << BITS)
-    again = tokens[1:] == tokens[:-1]
-    again[1:] |= (tokens[2:] == tokens[:-2]) & (text[2:] == text[:-2])
-    pairs[again] = BUCKETS - 1
+    # a word the third time in a row, or a pair the second time in a row
+    again = np.zeros(len(pairs), bool)
+    again[1:] = (tokens[2:] == tokens[:-2]) & (tokens[2:] == tokens[1:-1]) & (text[2:] == text[:-2])
+    again[2:] |= (tokens[3:] == tokens[1:-2]) & (tokens[2:-1] == tokens[:-3]) & (text[3:] == text[:-3])
+    pairs[again] = 2 << BITS
     inside = text[1:] == text[:-1]
-    return np.concatenate([single, pairs[inside]]), np.concatenate([text, text[1:][inside]])
+    return np.concatenate([single, pairs[inside], start]), np.concatenate([text, text[1:][inside], text[has]]), sizes
 
 
-def known(labels: DataFrame, bound: int = LABELLED) -> dict[int, bool]:
-    """doc_id to whether it is target text, for at most ``bound`` labelled rows.  A
-    document that any of its labels rejects is a reject."""
+def known(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> dict[int, bool]:
+    """doc_id to whether it is target text, for at most ``bound`` labelled rows, one of
+    each text.  A document that any of its labels rejects is a reject."""
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     rows = labels.where("doc_id is not null and quality is not null").select("doc_id", good.alias("good"))
+    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(bound)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("hash"))
     out: dict[int, bool] = {}
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(bound).collect():
-        out[r["doc_id"]] = bool(r["good"]) and out.get(r["doc_id"], True)
+    first: dict[int, int] = {}
+    # the sample's size is bounded by its limit
+    for r in texts.join(F.broadcast(sample), "doc_id").collect():
+        i = first.setdefault(r["hash"], r["doc_id"])
+        if r["doc_id"] < i:
+            out[r["doc_id"]] = out.pop(i)
+            i = first[r["hash"]] = r["doc_id"]
+        out[i] = bool(r["good"]) and out.get(i, True)
     return out
 
 
 def counted(docs: DataFrame, marks) -> DataFrame:
-    """Counts by bucket over all documents: bucket, raw, target, reject."""
+    """By bucket: tokens of all documents (raw) and of the labelled target (target), and
+    how many labelled documents of each kind hold it (in_target, in_reject)."""
+    names = ("raw", "target", "in_target", "in_reject")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, totals = Hashes(), np.zeros((3, BUCKETS), np.int64)
+        totals = np.zeros((4, BUCKETS), np.int64)
         for whole in batches:
             for batch in sliced(whole, "text"):
                 ids = batch.column("doc_id").to_pylist()
-                tokens, sizes = flat(batch.column("text").to_pylist(), hashes)
-                bucket, text = buckets_of(tokens, sizes)
+                bucket, text, _ = buckets_of(batch.column("text").to_pylist())
                 totals[0] += np.bincount(bucket, minlength=BUCKETS)
                 mark = np.array([{True: 1, False: 2}.get(marks.value.get(i), 0) for i in ids])[text] if len(text) else text
+                totals[1] += np.bincount(bucket[mark == 1], minlength=BUCKETS)
                 for k in (1, 2):
-                    totals[k] += np.bincount(bucket[mark == k], minlength=BUCKETS)
+                    once = np.unique(text[mark == k] * BUCKETS + bucket[mark == k]) % BUCKETS
+                    totals[1 + k] += np.bincount(once, minlength=BUCKETS)
         here = np.flatnonzero(totals[0])
-        yield pa.record_batch([pa.array(here.astype(np.int32)), *(pa.array(t[here]) for t in totals)], names=["bucket", "raw", "target", "reject"])
+        yield pa.record_batch([pa.array(here.astype(np.int32)), *(pa.array(t[here]) for t in totals)], names=["bucket", *names])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "bucket int, raw long, target long, reject long")
-    return rows.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "target", "reject")])
+    rows = docs.select("doc_id", "text").mapInArrow(run, "bucket int, raw long, target long, in_target long, in_reject long")
+    return rows.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
 
 
-def ratios(counts: DataFrame) -> np.ndarray:
-    """Log ratio of target to raw by bucket; ``BUCKETS`` numbers, whatever the corpus."""
+def ratios(counts: DataFrame, targets: int, rejects: int) -> np.ndarray:
+    """Log ratio of target to raw by bucket; ``BUCKETS`` numbers, whatever the corpus.
+    ``targets`` and ``rejects`` are the numbers of labelled documents."""
+    if not (targets and rejects):
+        return np.zeros(BUCKETS)
     table = counts.toArrow()
-    raw, target, reject = (np.zeros(BUCKETS) for _ in range(3))
+    raw, target, in_target, in_reject = (np.zeros(BUCKETS) for _ in range(4))
     at = table.column("bucket").to_numpy()
-    for into, name in ((raw, "raw"), (target, "target"), (reject, "reject")):
+    for into, name in ((raw, "raw"), (target, "target"), (in_target, "in_target"), (in_reject, "in_reject")):
         into[at] = table.column(name).to_numpy()
-    if not (target.sum() and reject.sum()):
-        return np.zeros(BUCKETS)
-    p_raw = raw / raw.sum()
-    prior = PRIOR * BUCKETS
-    p_target = (target + prior * p_raw) / (target.sum() + prior)
-    both = (target + reject) / (target.sum() + reject.sum())
-    error = np.sqrt(np.maximum(both, 1e-300) * (1 / target.sum() + 1 / reject.sum()))
-    z = (target / target.sum() - reject / reject.sum()) / error
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(raw > 0, np.log(p_target / p_raw), 0.0)
-    return np.where((np.abs(z) >= SIGNIFICANT) & (np.sign(z) == np.sign(ratio)), ratio, 0.0)
-
-
-def _weights(batch: pa.RecordBatch, hashes: Hashes, model: np.ndarray) -> np.ndarray:
-    tokens, sizes = flat(batch.column("text").to_pylist(), hashes)
-    bucket, text = buckets_of(tokens, sizes)
+    # the three kinds of n-grams are models of their own
+    ratio = np.zeros(BUCKETS)
+    for part in (slice(0, 1 << BITS), slice(1 << BITS, (2 << BITS) + 1), slice((2 << BITS) + 1, BUCKETS)):
+        p_raw = raw[part] / max(1.0, raw[part].sum())
+        prior = PRIOR * len(p_raw)
+        p_target = (target[part] + prior * p_raw) / (target[part].sum() + prior)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio[part] = np.where(raw[part] > 0, np.log(p_target / p_raw), 0.0)
+    both = (in_target + in_reject) / (targets + rejects)
+    error = np.sqrt(np.maximum(both, 1e-300) * (1 / targets + 1 / rejects))
+    z = (in_target / targets - in_reject / rejects) / error
+    return np.where((z <= -SIGNIFICANT) & (ratio < 0), ratio, 0.0)
+
+
+def _weights(batch: pa.RecordBatch, model: np.ndarray) -> np.ndarray:
+    bucket, text, sizes = buckets_of(batch.column("text").to_pylist())
     weight = np.bincount(text, model[bucket], minlength=len(sizes)).astype(float)
     weight[sizes == 0] = np.nan
     return weight
@@ -163,16 +189,17 @@ class Draw:
     def __init__(self, docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, bound: int = LABELLED):
         spark = docs.sparkSession
         self.temperature = temperature
-        marks = spark.sparkContext.broadcast(known(labels, bound))
-        self.model = spark.sparkContext.broadcast(ratios(counted(docs, marks)))
+        found = known(docs, labels, bound)
+        marks = spark.sparkContext.broadcast(found)
+        good = sum(found.values())
+        self.model = spark.sparkContext.broadcast(ratios(counted(docs, marks), good, len(found) - good))
         model = self.model
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = Hashes()
             for whole in batches:
                 for batch in sliced(whole, "text"):
                     ids = batch.column("doc_id").to_pylist()
-                    weight = _weights(batch, hashes, model.value)
+                    weight = _weights(batch, model.value)
                     columns = [batch.column("doc_id"), pa.array(weight, from_pandas=True), pa.array(_noisy(ids, weight, temperature), from_pandas=True), pa.array([marks.value.get(i) for i in ids], pa.bool_())]
                     yield pa.record_batch(columns, names=["doc_id", "log_weight", "noisy", "good"])
 
@@ -200,10 +227,9 @@ def accepted(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATUR
     model, threshold = draw.model, float(draw.threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for whole in batches:
             for batch in sliced(whole, "text"):
-                noisy = _noisy(batch.column("doc_id").to_pylist(), _weights(batch, hashes, model.value), temperature)
+                noisy = _noisy(batch.column("doc_id").to_pylist(), _weights(batch, model.value), temperature)
                 yield batch.filter(pa.array(noisy >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

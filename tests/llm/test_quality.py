@@ -3,7 +3,6 @@ import random
 import numpy as np
 
 from citelake.llm.quality import Draw, accepted, buckets_of, kth_largest, scored
-from citelake.llm._text import Hashes, flat
 
 
 def corpus(n=1500):
@@ -42,7 +41,7 @@ def test_weight_is_the_ratio_of_the_models(spark):
     rows, labels = corpus(400)
     draw = Draw(spark.createDataFrame(rows, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     for r in draw.table.collect():
-        bucket, _ = buckets_of(*flat([rows[r.doc_id][1]], Hashes()))
+        bucket, _, _ = buckets_of([rows[r.doc_id][1]])
         assert abs(r.log_weight - draw.model.value[bucket].sum()) < 1e-9
 
 
