@@ -18,6 +18,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citelake.llm.langid import predicted
+
+    return predicted(_table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citelake.llm.pii import pii_digest
 
@@ -40,6 +46,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_language": op4_language,
     "op5_pii": op5_pii,
     "op8_packing": op8_packing,
     "op10_quality": op10_quality,
