@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 
 from citelake.llm._common import materialize
 
-#: A line of as many words (or characters, for scripts without blanks) is a chunk by itself.
-LONG_WORDS = 16
-LONG_CHARS = 200
+#: A line of as many characters is a chunk by itself.
+LONG_CHARS = 80
 #: Least characters of a chunk of several short lines.
 MIN_CHARS = 40
 #: Short lines to each side up to which a repeated chunk is extended.
@@ -33,27 +32,34 @@ REACH = 16
 
 
 def _is_long(line: Column) -> Column:
-    blanks = F.length(line) - F.length(F.replace(line, F.lit(" ")))
-    return (blanks + 1 >= LONG_WORDS) | (F.length(line) >= LONG_CHARS)
-
-
-def _chunks(lines: Column) -> Column:
-    """Chunks of both chunkings and long lines: array of struct(start, len, hash)."""
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    n = F.size(lines)
-
-    def between(parity: int) -> Column:
-        inner = F.when(
-            n >= 2,
-            F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.pmod(F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)), F.lit(2)) == parity),
-        ).otherwise(F.array().cast("array<int>"))
-        starts = F.concat(F.array(F.lit(0)), inner)
-        ends = F.concat(inner, F.array(n))
+    return F.length(line) >= LONG_CHARS
+
+
+def _chunks(lined: DataFrame) -> DataFrame:
+    """Chunks of both chunkings and long lines: doc_id, _text_hash, start, len, hash.  Each
+    array is a column of its own: within a lambda it would be made anew for each element."""
+    inner = F.when(F.size("_lines") >= 2, F.sequence(F.lit(1), F.size("_lines") - 1)).otherwise(F.array().cast("array<int>"))
+    hashed = lined.select(
+        "doc_id",
+        "_text_hash",
+        F.transform("_lines", lambda x: F.xxhash64(x)).alias("_hashes"),
+        F.transform("_lines", lambda x: _is_long(x)).alias("_long"),
+        inner.alias("_inner"),
+    )
+    rolled = hashed.withColumn("_odd", F.zip_with("_hashes", F.slice("_hashes", F.lit(2), F.size("_hashes")), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(2)) == 1))
+
+    def cuts(odd: bool) -> Column:
+        return F.filter("_inner", lambda i: F.get("_odd", i - 1) == odd)
+
+    def between(inner: str) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.col(inner))
+        ends = F.concat(F.col(inner), F.array(F.size("_hashes")))
         return F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a).alias("len"))), lambda c: c["len"] >= 2)
 
-    alone = F.filter(F.transform(lines, lambda x, i: F.when(_is_long(x), F.struct(i.alias("start"), F.lit(1).alias("len")))), lambda c: c.isNotNull())
-    every = F.array_distinct(F.concat(between(0), between(1), alone))
-    return F.transform(every, lambda c: F.struct(c["start"], c["len"], F.xxhash64(F.slice(hashes, c["start"] + 1, c["len"])).alias("hash")))
+    alone = F.filter(F.transform("_long", lambda x, i: F.when(x, F.struct(i.alias("start"), F.lit(1).alias("len")))), lambda c: c.isNotNull())
+    cut = rolled.select("doc_id", "_text_hash", "_hashes", "_long", cuts(False).alias("_even"), cuts(True).alias("_uneven"))
+    every = cut.select("doc_id", "_text_hash", "_hashes", F.explode(F.array_distinct(F.concat(between("_even"), between("_uneven"), alone))).alias("c"))
+    return every.select("doc_id", "_text_hash", "c.start", "c.len", F.xxhash64(F.slice("_hashes", F.col("c.start") + 1, F.col("c.len"))).alias("hash"))
 
 
 def _equal_run(a: Column, b: Column) -> Column:
@@ -74,10 +80,7 @@ def removable(docs: DataFrame) -> DataFrame:
     """Ranges of lines to remove: doc_id, _text_hash, ranges array of struct(start, end)."""
     base = docs.select("doc_id", "text").withColumn("_text_hash", F.xxhash64("text")).where("text is not null and doc_id is not null")
     lined = base.withColumn("_lines", F.split("text", "\n", -1))
-    chunks = materialize(
-        lined.select("doc_id", "_text_hash", F.inline(_chunks(F.col("_lines")))),
-        "chunks",
-    )
+    chunks = materialize(_chunks(lined), "chunks")
     repeated = (
         chunks.groupBy("hash")
         .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last_doc"))
@@ -103,9 +106,10 @@ def removable(docs: DataFrame) -> DataFrame:
         F.col("c.len").alias("len"),
         (F.col("doc_id") == F.col("c.first_doc")).alias("_is_first"),
         F.slice("_lines", F.col("c.start") + 1, F.col("c.len")).alias("body"),
-        _short_run(F.reverse(F.slice(F.col("_lines"), low + 1, F.col("c.start") - low))).alias("before"),
-        _short_run(F.slice(F.col("_lines"), F.col("c.start") + F.col("c.len") + 1, F.lit(REACH))).alias("after"),
-    ).where(F.length(F.array_join("body", "\n")) >= MIN_CHARS)
+        F.reverse(F.slice(F.col("_lines"), low + 1, F.col("c.start") - low)).alias("before"),
+        F.slice(F.col("_lines"), F.col("c.start") + F.col("c.len") + 1, F.lit(REACH)).alias("after"),
+    )
+    occurrences = occurrences.withColumn("before", _short_run(F.col("before"))).withColumn("after", _short_run(F.col("after"))).where(F.length(F.array_join("body", "\n")) >= MIN_CHARS)
     occurrences = materialize(occurrences, "occurrences")
     first = (
         occurrences.where("_is_first")
