@@ -76,13 +76,13 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str = "rank") -> D
     spark = df.sparkSession
     n = shuffle_partitions(spark)
     laid = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order)
-    laid = materialize(laid.withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    laid = laid.withColumn("_part", F.shiftright("_at", 33))
-    parts = laid.groupBy("_part", F.col(group).alias("_group")).agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
-    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_part", "_group", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    joined = laid.join(F.broadcast(parts), (laid["_part"] == parts["_part"]) & laid[group].eqNullSafe(parts["_group"]))
-    return joined.select(*df.columns, (F.col("_at") - F.col("_low") + F.col("_before")).alias(name))
+    laid = materialize(laid.withColumn("_rank_at", F.monotonically_increasing_id()), "ranked")
+    laid = laid.withColumn("_rank_part", F.shiftright("_rank_at", 33))
+    parts = laid.groupBy("_rank_part", F.col(group).alias("_rank_group")).agg(F.min("_rank_at").alias("_rank_low"), F.count("*").alias("_rank_n"))
+    before = Window.partitionBy("_rank_group").orderBy("_rank_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_rank_part", "_rank_group", "_rank_low", F.coalesce(F.sum("_rank_n").over(before), F.lit(0)).alias("_rank_before"))
+    joined = laid.join(F.broadcast(parts), (laid["_rank_part"] == parts["_rank_part"]) & laid[group].eqNullSafe(parts["_rank_group"]))
+    return joined.select(*df.columns, (F.col("_rank_at") - F.col("_rank_low") + F.col("_rank_before")).alias(name))
 
 
 def sliced(batch: pa.RecordBatch, column: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citelake.llm.minhash import classes
+
+    return classes(_table(spark, sf_dir, "documents"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citelake.llm.sharding import sharded
+
+    return sharded(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citelake.llm.linededup import without_repeats
 
@@ -38,6 +50,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citelake.llm.mixing import mixed_rates
+
+    return mixed_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citelake.llm.quality import scored
 
@@ -45,10 +63,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
+    "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
     "op4_language": op4_language,
     "op5_pii": op5_pii,
     "op8_packing": op8_packing,
+    "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
 
