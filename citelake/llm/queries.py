@@ -42,6 +42,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citelake.llm.ann import neighbours
+
+    return neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citelake.llm.embdedup import linked
+
+    return linked(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_language": op4_language,
     "op5_pii": op5_pii,
+    "op6_ann": op6_ann,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
