@@ -16,6 +16,8 @@ are cut into pieces of the capacity, the last may be shorter; other columns are
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -28,9 +30,11 @@ from citelake.llm._common import materialize, ranked, sliced
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 500
+ROUNDS = 250
+#: Signs that may end a word; a run of them is one piece for the tokenizer's pattern.
+SIGNS = ".,!?;:#$%&*"
 #: Entries of a worker's memory of words; it starts anew beyond that.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -40,29 +44,68 @@ class WordIds(dict):
 
     The tokenizer's pattern never crosses white space, so a text's ids are those of its
     words; words are told apart at blanks and line ends only, and whatever else counts
-    as white space stays within a word for the tokenizer to see.
+    as white space stays within a word for the tokenizer to see.  Nor does it join letters
+    with signs, so a word's last signs are looked up apart from the letters before them.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, words: set[str]) -> None:
         if len(self) > WORDS_KEPT:
             self.clear()
-        new = [w for w in words if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+        bases, others, made = set(), [], []
+        for word in words.difference(self):
+            base = word.rstrip(SIGNS)
+            if base.isalpha():
+                # Latin letters have one lower case everywhere
+                base = base.lower() if base.isascii() or max(base) < "\u0130" else base
+                if base not in self:
+                    bases.add(base)
+                made.append((word, base, word[len(base) :]))
+            else:
+                others.append(word)
+        self._letters(list(bases))
+        self._each(others)
+        self._each([x for x in {x for _, _, x in made} if x not in self])
+        for word, base, points in made:
+            self[word] = self[base] + self[points]
+
+    def _each(self, words: list[str]) -> None:
+        for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self[word] = np.array(e.ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str], many: int = 1000) -> None:
+        """Words of letters, many in one text: each ends with the only end-of-word id in it."""
+        groups = [words[i : i + many] for i in range(0, len(words), many)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(group):  # a letter that turned into several characters
+                self._each(group)
+                continue
+            data, start = ids.tobytes(), 0
+            for word, end in zip(group, ends, strict=True):
+                self[word] = data[start:end]
+                start = end
 
     def of(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One memory of words for each worker process, for all its tasks."""
+    return WordIds(path)
+
+
 def words_of(text: str | None) -> list[str]:
     return text.replace("\n", " ").split(" ") if text else []
 
@@ -72,7 +115,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
     end, width = np.array([END_ID], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer_path)
+        ids = word_ids(tokenizer_path)
         for whole in batches:
             for batch in sliced(whole, "text"):
                 texts = [words_of(t) for t in batch.column("text").to_pylist()]
