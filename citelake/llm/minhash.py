@@ -8,11 +8,12 @@ into one of ``SIGNATURE`` places, and a place keeps the earliest point.  Two doc
 a place with the probability of their weighted Jaccard similarity.  Points are made in
 order of time and only while they can still be earlier than the latest kept one.
 
-Signatures are cut into bands.  Within each band's bucket, documents are compared with the
-smallest one, by exact multiset overlap; what is still in other components of the same
-bucket is then compared at growing distances in the bucket's order until all pairs in
-different components are done.  So copies and near copies of thousands cost one
-comparison each, and no link that joins two classes is lost within the buckets.
+Signatures are cut into bands.  Each document is compared, by exact multiset overlap, with the
+smallest of all that share a bucket with it, so copies and near copies of thousands cost one
+comparison each.  Buckets that still hold several components are then searched whole, block
+against block of signatures in memory: only pairs in different components whose signatures
+agree in at least ``LIKELY`` of the places (more than 3.5 standard errors below the
+threshold) leave a task and are compared by their texts.
 
 Defined results: words are runs of letters, digits and underscores in lower case;
 documents of one to four words have one shingle; documents without words (null, empty,
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm._common import materialize, release, sliced
+from citelake.llm._common import materialize, ranked, sliced
 from citelake.llm._graph import components
 from citelake.llm._text import WORDS, hashes, mixed, uniform
 
@@ -39,6 +40,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
 SIGNATURE = BANDS * ROWS
+#: Share of equal places from which two documents of a bucket are compared by their texts.
+LIKELY = 0.68
+BLOCK = 256
 
 
 def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +129,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(whole, "text"):
             n = batch.num_rows
             text, element, weight = shingles(batch.column("text").to_pylist())
-            bands = bands_of(signatures(text, element, weight, n))
+            signature = signatures(text, element, weight, n)
+            bands = bands_of(signature)
+            # 16 bits of each place are enough to tell points apart
+            short = mixed(signature.view(np.uint64)).astype(np.uint16)
             # the multiset's own hash, in two halves: equal ones are one class
             sums = np.zeros((2, n), np.uint64)
             for k in (0, 1):
@@ -138,8 +145,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(sums[0].view(np.int64)),
                 pa.array(sums[1].view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel())),
+                pa.array([x.tobytes() for x in short], pa.binary()),
             ]
-            yield pa.record_batch(columns, names=["doc_id", "key1", "key2", "bands"]).filter(pa.array(has))
+            yield pa.record_batch(columns, names=["doc_id", "key1", "key2", "bands", "places"]).filter(pa.array(has))
 
 
 @functools.lru_cache(maxsize=1)
@@ -180,52 +188,62 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(_verified, "a long, b long")
 
 
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks (arrays of rep, component, places) that may be near copies."""
+    for batch in batches:
+        left, right = [], []
+        for i in range(batch.num_rows):
+            one, other = batch.column("members")[i].values, batch.column("others")[i].values
+            a, b = (np.frombuffer(b"".join(x.field("places").to_pylist()), np.uint16).reshape(len(x), -1) for x in (one, other))
+            ids, ids_b = one.field("rep").to_numpy(), other.field("rep").to_numpy()
+            apart = one.field("component").to_numpy()[:, None] != other.field("component").to_numpy()[None, :]
+            apart &= ids[:, None] < ids_b[None, :] if batch.column("same")[i].as_py() else True
+            x, y = np.nonzero(apart)
+            for at in range(0, len(x), 20_000):
+                p, q = x[at : at + 20_000], y[at : at + 20_000]
+                near = (a[p] == b[q]).mean(axis=1) >= LIKELY
+                left.append(np.minimum(ids[p[near]], ids_b[q[near]]))
+                right.append(np.maximum(ids[p[near]], ids_b[q[near]]))
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.empty((2, 0), np.int64)
+        yield pa.record_batch([pa.array(pairs[0].astype(np.int64)), pa.array(pairs[1].astype(np.int64))], names=["a", "b"])
+
+
+def _rest(placed: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
+    """Likely pairs in buckets whose members are in several components."""
+    known = placed.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    rows = known.join(several, "bucket").select("bucket", "rep", "component")
+    rows = rows.join(signed.select(F.col("doc_id").alias("rep"), "places"), "rep")
+    rows = ranked(rows, "bucket", ["rep"], "_place").withColumn("block", F.floor(F.col("_place") / BLOCK).cast("int"))
+    blocks = materialize(rows.groupBy("bucket", "block").agg(F.collect_list(F.struct("rep", "component", "places")).alias("members")), "blocks")
+    ahead = blocks.select("bucket", F.col("block").alias("other"), F.col("members").alias("others"))
+    pairs = blocks.join(ahead, "bucket").where("block <= other").select("members", "others", (F.col("block") == F.col("other")).alias("same"))
+    return pairs.mapInArrow(_likely, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row for each doc_id with words or without: doc_id, class_id (the smallest doc_id
     of its class), kept."""
     base = docs.where("doc_id is not null").select("doc_id", "text")
-    signed = materialize(base.mapInArrow(_signed, "doc_id long, key1 long, key2 long, bands array<long>"), "signed")
+    signed = materialize(base.mapInArrow(_signed, "doc_id long, key1 long, key2 long, bands array<long>, places binary"), "signed")
     members = signed.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
     in_class = signed.select("doc_id", "key1", "key2").join(members, ["key1", "key2"]).select("doc_id", "rep")
     # a doc_id given twice with different texts is one document: its representatives are linked
     same = in_class.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    banded = materialize(
-        signed.join(members.select(F.col("rep").alias("doc_id"), "key1", "key2"), ["doc_id", "key1", "key2"]).select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep")).distinct(),
-        "banded",
+    one = materialize(
+        signed.join(members.select(F.col("rep").alias("doc_id"), "key1", "key2"), ["doc_id", "key1", "key2"]).select("doc_id", "bands", "places").dropDuplicates(["doc_id"]), "one"
     )
+    banded = one.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"))
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
-    placed = materialize(banded.join(buckets, "bucket").select("bucket", "rep", "first", "n"), "placed")
-    release(banded)
-    wanted = placed.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(base.join(wanted, "doc_id", "left_semi"), "texts")
-    pairs = placed.where("rep <> first").select(F.col("rep").alias("b"), F.col("first").alias("a")).distinct()
+    placed = materialize(banded.join(buckets, "bucket").select("bucket", "rep", "first"), "placed")
+    texts = materialize(base.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    # the smallest companion of each document over all its buckets: one comparison each
+    pairs = placed.groupBy("rep").agg(F.min("first").alias("a")).where("a < rep").select("a", F.col("rep").alias("b"))
     links = materialize(_links(pairs, texts), "links")
     label = materialize(components(links), "labels")
-    # what is left: buckets with members in different components, besides the pairs with the first
-    distance = 1
-    done = [links]
-    while True:
-        known = placed.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed_ = known.where("n > 2").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        order = Window.partitionBy("bucket").orderBy("rep")
-        rest = known.where("rep <> first and n - 1 > %d" % distance).join(mixed_, "bucket").select("bucket", "rep", "component", "n", F.row_number().over(order).alias("at"))
-        rest = materialize(rest, "rest")
-        if rest.isEmpty():
-            release(rest)
-            break
-        far = rest.select("bucket", F.col("rep").alias("b"), F.col("component").alias("other"), "at")
-        near = rest.where(F.col("at") + distance <= F.col("n") - 1).select(
-            "bucket", F.col("rep").alias("a"), "component", F.explode(F.sequence((F.col("at") + distance).cast("int"), F.least(F.col("at") + 2 * distance - 1, F.col("n") - 1).cast("int"))).alias("at")
-        )
-        more = near.join(far, ["bucket", "at"]).where("component <> other").select("a", "b").distinct()
-        found = materialize(_links(more, texts), "links")
-        done.append(found)
-        release(rest)
-        if not found.isEmpty():
-            every = functools.reduce(DataFrame.unionByName, done)
-            label = materialize(components(every), "labels")
-        distance *= 2
-    final = components(functools.reduce(DataFrame.unionByName, [same, *done]))
+    more = materialize(_rest(placed, label, one), "pairs")
+    links = links.unionByName(materialize(_links(more, texts), "links"))
+    final = components(links.unionByName(same))
     out = base.select("doc_id").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     class_id = F.coalesce("component", "doc_id")
     return out.select("doc_id", class_id.alias("class_id"), (class_id == F.col("doc_id")).alias("kept"))
