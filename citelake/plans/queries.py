@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from citelake.functions import ids, text
 from citelake.operators import aggregates, joins, windows
 from citelake.operators.detect import mentions
+from citelake.operators.resolve import citations, cited_authorities
 from citelake.plans.notes import NUMBERS_SQL, notes, orders_numbers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -415,3 +416,57 @@ def o06_widest_stratum(spark, sf_dir):
 def j06_previous_authority(spark, sf_dir):
     rows = notes(spark, sf_dir)
     return windows.previous_established(rows, "doc_id", "note_pos", F.when(F.col("template") != 11, F.col("key"))).select("doc_id", "note_pos", "established")
+
+
+# resolution: one ordered fold per document
+
+#: What a note without a back-reference establishes, from its template; several are marked, none is null.
+_ESTABLISHED = """CASE template WHEN 0 THEN '6' || (2000 + yy) || 'CJ' || lpad(CAST(num AS VARCHAR), 4, '0') WHEN 1 THEN '6' || (2000 + yy) || 'CJ' || lpad(CAST(num AS VARCHAR), 4, '0')
+       WHEN 2 THEN '3' || (2000 + yy) || 'L' || lpad(CAST(num AS VARCHAR), 4, '0') WHEN 3 THEN '3' || (1990 + yy % 10) || 'R' || lpad(CAST(num AS VARCHAR), 4, '0')
+       WHEN 4 THEN '12016E' || lpad(CAST(para AS VARCHAR), 3, '0') WHEN 5 THEN 'several' WHEN 7 THEN '6' || (2000 + yy) || 'CJ' || lpad(CAST(num AS VARCHAR), 4, '0')
+       WHEN 8 THEN '6' || (2000 + yy) || 'CC' || lpad(CAST(num AS VARCHAR), 4, '0') WHEN 9 THEN '6' || (2000 + yy) || 'CO' || lpad(CAST(num AS VARCHAR), 4, '0') END"""
+
+
+@query(f""", e AS (SELECT *, {_ESTABLISHED} AS id, max(CASE WHEN template <> 11 THEN note_pos END) OVER (PARTITION BY doc_id ORDER BY note_pos) AS src FROM numbers)
+       SELECT a.doc_id, a.note_pos, CASE WHEN b.id IS NULL OR (b.id = 'several' AND a.note_pos > b.note_pos + 1) THEN 'unresolved_not_found' WHEN b.id = 'several' THEN 'unresolved_ambiguous' ELSE 'resolved' END AS status,
+       CASE WHEN b.id <> 'several' THEN b.id END AS celex FROM e a LEFT JOIN e b ON a.doc_id = b.doc_id AND a.src = b.note_pos WHERE a.template = 11""")
+def r06_ibid(spark, sf_dir):
+    c = citations(notes(spark, sf_dir)).where("back_note is not null or value like 'Ibid%'")
+    return c.select("doc_id", "note_pos", "status", "celex")
+
+
+@query(f""", e AS (SELECT *, {_ESTABLISHED} AS id FROM numbers)
+       SELECT a.doc_id, a.note_pos, CASE WHEN b.id IS NULL THEN 'unresolved_not_found' WHEN b.id = 'several' THEN 'unresolved_ambiguous' ELSE 'resolved' END AS status, CASE WHEN b.id <> 'several' THEN b.id END AS celex,
+       a.para AS paragraph FROM e a LEFT JOIN e b ON a.doc_id = b.doc_id AND b.note_pos = a.note_pos - 2 WHERE a.template = 11 AND COALESCE(b.template, 0) <> 11""")
+def r06_supra(spark, sf_dir):
+    rows = notes(spark, sf_dir)
+    rows = rows.withColumn("text", F.when(F.col("template") == 11, F.format_string("Supra note %d, paragraph %d.", F.when(F.col("note_pos") > 2, F.col("note_pos") - 2).otherwise(99), "para")).otherwise(F.col("text")))
+    pointed = rows.select("doc_id", (F.col("note_pos") + 2).alias("note_pos"), F.col("template").alias("_of"))
+    c = citations(rows).where("value like 'Supra%'").join(pointed, ["doc_id", "note_pos"], "left").where("coalesce(_of, 0) <> 11")
+    return c.select("doc_id", "note_pos", "status", "celex", F.col("locator_start").alias("paragraph"))
+
+
+@query("""SELECT doc_id, note_pos, '3' || (2000 + before_yy) || 'L' || lpad(CAST(before_num AS VARCHAR), 4, '0') AS celex, 'explicit_alias' AS method, para AS article
+       FROM (SELECT *, lag(yy) OVER w AS before_yy, lag(num) OVER w AS before_num FROM numbers WINDOW w AS (PARTITION BY doc_id ORDER BY note_pos)) WHERE note_pos % 2 = 0""".replace("SELECT doc_id", " SELECT doc_id", 1))
+def r04_short_form(spark, sf_dir):
+    rows = notes(spark, sf_dir)
+    declares = F.format_string("Directive %d/%d/EU (“Zeta%d Act”).", F.col("yy") + 2000, F.col("num"), F.col("note_pos"))
+    cites = F.format_string("See Article %d of the Zeta%d Act.", F.col("para"), F.col("note_pos") - 1)
+    c = citations(rows.withColumn("text", F.when(F.col("note_pos") % 2 == 1, declares).otherwise(cites))).where("method is not null")
+    return c.select("doc_id", "note_pos", "celex", "method", F.col("locator_start").alias("article"))
+
+
+@query("""SELECT doc_id, note_pos, CASE key % 3 WHEN 0 THEN 'unconfirmed_suggestion' WHEN 1 THEN 'unresolved_ambiguous' ELSE 'unresolved_not_found' END AS status, CASE key % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS candidates,
+       para AS paragraph FROM numbers""")
+def r07_gaps(spark, sf_dir):
+    k = F.col("key") % 3
+    name = F.when(k == 0, "Bosman").when(k == 1, "Intel").otherwise("Post Danmark")
+    rows = notes(spark, sf_dir).withColumn("text", F.format_string("%s, paragraph %d.", name, F.col("para")))
+    return citations(rows).select("doc_id", "note_pos", "status", F.coalesce(F.size("candidates"), F.lit(0)).alias("candidates"), F.col("locator_start").alias("paragraph"))
+
+
+@query(f""", e AS (SELECT doc_id, CASE WHEN template IN (0, 8, 9) THEN 'E' || template || (2000 + yy) || ':' || seq ELSE {_ESTABLISHED} END AS id FROM numbers WHERE template NOT IN (5, 6, 10, 11)
+       UNION ALL SELECT doc_id, '12016P' || lpad(CAST(para + d AS VARCHAR), 3, '0') FROM numbers, (VALUES (0), (1)) AS v(d) WHERE template = 5)
+       SELECT doc_id, count(DISTINCT id) AS authorities FROM e GROUP BY doc_id""")
+def r10_authorities(spark, sf_dir):
+    return cited_authorities(notes(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("authorities"))
