@@ -4,6 +4,7 @@ tables and gapless ranks that never pull a group into one task."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -60,6 +61,19 @@ def _clean() -> None:
             return
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plans made inside give Python at most ``rows`` rows at once: for rows that are blocks
+    of vectors.  What is inside must be written there."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm._common import materialize, ranked, release
+from citelake.llm._common import batches_of, materialize, ranked, release, shuffle_partitions
 
 CURVES = 4
 DIMS, BITS = 8, 7
 BLOCK = 1024
-QUERIES = 1024
+QUERIES = 512
+#: Blocks of a task's slice: a query leaves one list for each slice.
+SLICE = 64
 AUDIT = 128
 RECALL = 0.95
 NEAREST = 20
@@ -100,11 +102,7 @@ def _top(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: n
         q, c = np.nonzero(np.isfinite(scores))
     found, near, value = query_ids[q], ids[c], scores[q, c]
     order = np.lexsort((near, -value, found))
-    found, near, value = found[order], near[order], value[order]
-    start = np.r_[True, found[1:] != found[:-1]] if len(found) else np.zeros(0, bool)
-    rank = np.arange(len(found)) - np.maximum.accumulate(np.where(start, np.arange(len(found)), 0))
-    keep = rank < k
-    return found[keep], near[keep], value[keep]
+    return _first(found[order], near[order], value[order], k)
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -114,16 +112,41 @@ def _searched(pairs: DataFrame, width: int, k: int) -> DataFrame:
     """Finds of pairs of blocks (ids, vectors, query_ids, queries as arrays)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task keeps one list for each query of its groups, however many blocks it sees
+        best: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, query_ids = (np.array(batch.column(c)[i].values) for c in ("ids", "query_ids"))
                 vectors, queries = (np.frombuffer(b"".join(batch.column(c)[i].as_py()), np.float64).reshape(-1, width) for c in ("vectors", "queries"))
                 out = _top(ids, vectors, query_ids, queries, k)
-                yield pa.record_batch([pa.array(x) for x in out], names=["query_id", "vec_id", "score"])
+                group = query_ids.tobytes()
+                best[group] = _merge(best[group], out, k) if group in best else out
+                if len(best) > 64:
+                    yield _batch(best.pop(next(iter(best))))
+        for out in best.values():
+            yield _batch(out)
 
     return pairs.select("ids", "vectors", "query_ids", "queries").mapInArrow(run, FOUND)
 
 
+def _batch(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+
+
+def _merge(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found, near, value = (np.concatenate(x) for x in zip(a, b, strict=True))
+    order = np.lexsort((near, -value, found))
+    return _first(found[order], near[order], value[order], k)
+
+
+def _first(found: np.ndarray, near: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each query, from rows sorted by query."""
+    start = np.r_[True, found[1:] != found[:-1]] if len(found) else np.zeros(0, bool)
+    rank = np.arange(len(found)) - np.maximum.accumulate(np.where(start, np.arange(len(found)), 0))
+    keep = rank < k
+    return found[keep], near[keep], value[keep]
+
+
 def _packed(rows: DataFrame, keys: list[str], ids: str, vectors: str) -> DataFrame:
     """Rows of a block as two arrays; blocks are bounded by their construction."""
     packed = rows.groupBy(*keys).agg(F.collect_list(F.struct("vec_id", "bytes")).alias("_all"))
@@ -162,7 +185,8 @@ def neighbours(table: DataFrame, k: int = NEAREST, every: int = 20, radius: int
     blocks = _packed(order, ["curve", "block"], "ids", "vectors")
     near = order.where(query).withColumn("block", F.explode(F.array(*[F.col("block") + d for d in range(-radius, radius + 1)])))
     asked = _packed(near, ["curve", "block"], "query_ids", "queries")
-    found = materialize(_merged(_searched(blocks.join(asked, ["curve", "block"]), width, k), k), "found")
+    with batches_of(spark, 16):
+        found = materialize(_merged(_searched(blocks.join(asked, ["curve", "block"]), width, k), k), "found")
 
     # the audit: a bounded sample of queries against all rows, a few per task
     queries = order.where(query & (F.col("curve") == 0))
@@ -174,8 +198,7 @@ def neighbours(table: DataFrame, k: int = NEAREST, every: int = 20, radius: int
         def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.float64).reshape(-1, width)
-                out = _top(batch.column("vec_id").to_numpy(), rows, *shared.value, k)
-                yield pa.record_batch([pa.array(x) for x in out], names=["query_id", "vec_id", "score"])
+                yield _batch(_top(batch.column("vec_id").to_numpy(), rows, *shared.value, k))
 
         exact = _merged(order.where("curve = 0").select("vec_id", "bytes").mapInArrow(audit, FOUND), k).select("query_id", F.col("_best").alias("_exact"))
         hit = found.join(F.broadcast(exact), "query_id").select(F.size(F.array_intersect("_best.vec_id", "_exact.vec_id")).alias("hit"), F.size("_exact").alias("all"))
@@ -190,9 +213,13 @@ def neighbours(table: DataFrame, k: int = NEAREST, every: int = 20, radius: int
 
 def _all_blocks(rows: DataFrame, query: Column, width: int, k: int) -> DataFrame:
     """The stated queries against all rows, block against block."""
+    spark = rows.sparkSession
     asked = ranked(rows.where(query).withColumn("_all", F.lit(0)), "_all", ["vec_id"], "_place")
     asked = _packed(asked.withColumn("group", F.floor(F.col("_place") / QUERIES).cast("int")), ["group"], "query_ids", "queries")
     asked = materialize(asked, "queries")
     groups = asked.count()
     blocks = _packed(rows, ["block"], "ids", "vectors").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(max(groups - 1, 0)))))
-    return _merged(_searched(blocks.join(asked, "group"), width, k), k)
+    # a task takes a slice of the blocks for a group of queries
+    pairs = blocks.join(asked, "group").repartition(shuffle_partitions(spark), "group", F.floor(F.col("block") / SLICE))
+    with batches_of(spark, 16):
+        return materialize(_merged(_searched(pairs, width, k), k), "found")

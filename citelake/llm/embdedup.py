@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm._common import materialize, ranked, release
+from citelake.llm._common import batches_of, materialize, ranked, release
 from citelake.llm._graph import components
 from citelake.llm.ann import usable
 
@@ -202,17 +202,21 @@ def linked(table: DataFrame) -> DataFrame:
     vectors = materialize(same, "vectors")
     member = units.join(vectors, ["label", "unit"]).select("_row", "vec_id", "id", "copies")
     k, turn = LIST, 0
-    edges = materialize(_lists(_started(vectors, k), k), "edges")
+    spark = table.sparkSession
+    with batches_of(spark, 64):
+        edges = materialize(_lists(_started(vectors, k), k), "edges")
     parts = counts = None
     while True:
         while turn < ROUNDS or parts is not None:
-            more = materialize(_lists(edges.unionByName(_descended(edges, vectors, k, turn)), k), "edges")
+            with batches_of(spark, 1024):
+                more = materialize(_lists(edges.unionByName(_descended(edges, vectors, k, turn)), k), "edges")
             release(edges)
             edges, turn = more, turn + 1
             if parts is not None:
                 break
         parts = materialize(components(edges.where(F.col("sim") >= THRESHOLD).select("a", "b")), "parts")
-        counts = materialize(_counted(vectors, parts), "counts")
+        with batches_of(spark, 32):
+            counts = materialize(_counted(vectors, parts), "counts")
         if turn >= MOST_ROUNDS or _recall(vectors, counts) >= RECALL:
             break
         k *= 2

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from citelake.llm._common import materialize
 
-#: A line of as many characters is a chunk by itself.
-LONG_CHARS = 80
+#: A line of as many words (or characters, for scripts without blanks) is a chunk by itself.
+LONG_WORDS = 16
+LONG_CHARS = 200
 #: Least characters of a chunk of several short lines.
 MIN_CHARS = 40
 #: Short lines to each side up to which a repeated chunk is extended.
@@ -32,7 +33,8 @@ REACH = 16
 
 
 def _is_long(line: Column) -> Column:
-    return F.length(line) >= LONG_CHARS
+    blanks = F.length(line) - F.length(F.replace(line, F.lit(" ")))
+    return (blanks + 1 >= LONG_WORDS) | (F.length(line) >= LONG_CHARS)
 
 
 def _chunks(lined: DataFrame) -> DataFrame:

@@ -12,8 +12,7 @@ Signatures are cut into bands.  Each document is compared, by exact multiset ove
 smallest of all that share a bucket with it, so copies and near copies of thousands cost one
 comparison each.  Buckets that still hold several components are then searched whole, block
 against block of signatures in memory: only pairs in different components whose signatures
-agree in at least ``LIKELY`` of the places (more than 3.5 standard errors below the
-threshold) leave a task and are compared by their texts.
+agree in at least ``LIKELY`` of the places (4.6 standard errors below the threshold) leave a task and are compared by their texts.
 
 Defined results: words are runs of letters, digits and underscores in lower case;
 documents of one to four words have one shingle; documents without words (null, empty,
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm._common import materialize, ranked, sliced
+from citelake.llm._common import batches_of, materialize, ranked, sliced
 from citelake.llm._graph import components
 from citelake.llm._text import WORDS, hashes, mixed, uniform
 
@@ -41,7 +40,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
 SIGNATURE = BANDS * ROWS
 #: Share of equal places from which two documents of a bucket are compared by their texts.
-LIKELY = 0.68
+LIKELY = 0.65
 BLOCK = 256
 
 
@@ -241,7 +240,8 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = placed.groupBy("rep").agg(F.min("first").alias("a")).where("a < rep").select("a", F.col("rep").alias("b"))
     links = materialize(_links(pairs, texts), "links")
     label = materialize(components(links), "labels")
-    more = materialize(_rest(placed, label, one), "pairs")
+    with batches_of(docs.sparkSession, 256):
+        more = materialize(_rest(placed, label, one), "pairs")
     links = links.unionByName(materialize(_links(more, texts), "links"))
     final = components(links.unionByName(same))
     out = base.select("doc_id").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")

@@ -20,6 +20,8 @@ rows have equal rates and copies.
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citelake.llm._common import materialize, sliced
-from citelake.llm._text import TOKENS, hashes, mixed, stems, uniform
+from citelake.llm._text import TOKENS, Hashes, hashes, mixed, stems, uniform
 
 LABELLED = 10_000
 BITS = 16
@@ -60,7 +62,7 @@ class Classifier:
     """Posterior probabilities of domains; multinomial naive Bayes on hashed words."""
 
     def __init__(self, domains: list[str], counts: np.ndarray, rows: np.ndarray):
-        self.domains = domains
+        self.domains, self.key = domains, uuid.uuid4().hex
         pooled = counts.sum(axis=0)
         share = (pooled + 0.5) / (pooled.sum() + 0.5 * BUCKETS)
         # each domain's counts lean on the pooled ones
@@ -69,15 +71,65 @@ class Classifier:
         self.prior = np.log((rows + 0.5) / (rows.sum() + 0.5 * len(rows)))
 
     def posterior(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        bucket, text, sizes = _buckets(texts)
-        score = np.empty((len(sizes), len(self.domains)))
-        for k in range(len(self.domains)):
-            score[:, k] = np.bincount(text, self.table[bucket, k], minlength=len(sizes)) * POWER + self.prior[k]
+        """Posteriors (texts x domains) and tokens of each text."""
+        known = _scores(self)
+        found = [TOKENS.findall(t.lower()) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        score = np.zeros((len(sizes), len(self.domains)))
+        word = known.of(found, int(sizes.sum()))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            score[some] = np.add.reduceat(known.rows[word], (np.cumsum(sizes) - sizes)[some], axis=0)
+        score = score * POWER + self.prior
         score -= score.max(axis=1, keepdims=True)
         p = np.exp(score)
         return p / p.sum(axis=1, keepdims=True), sizes
 
 
+class _WordScores(dict):
+    """Each word's number and, at that row, its scores by domain; made once per word."""
+
+    def __init__(self, model: Classifier, kept: int = 500_000):
+        super().__init__()
+        self.model, self.kept = model, kept
+        self.rows = np.zeros((1024, len(model.domains)))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+    def of(self, found: list[list[str]], n: int) -> np.ndarray:
+        if len(self) > self.kept:
+            self.clear()
+        out = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(found)), np.int64, n)
+        if self.new:
+            if len(self) > len(self.rows):
+                grown = np.zeros((2 * len(self), self.rows.shape[1]))
+                grown[: len(self.rows)] = self.rows
+                self.rows = grown
+            words = Hashes().of(self.new)
+            starts = stems().of(self.new)
+            mask = np.uint64((1 << BITS) - 1)
+            rows = self.model.table[(mixed(words) & mask).astype(np.int64)]
+            has = starts != 0
+            rows[has] += self.model.table[(starts[has] & mask).astype(np.int64) + (1 << BITS)]
+            self.rows[len(self) - len(self.new) : len(self)] = rows
+            self.new = []
+        return out
+
+
+_last: list = []
+
+
+def _scores(model: Classifier) -> _WordScores:
+    """One memory of scores for each worker process and model, for all its tasks."""
+    if not _last or _last[0] != model.key:
+        _last[:] = [model.key, _WordScores(model)]
+    return _last[1]
+
+
 def trained(docs: DataFrame, known: dict[int, str]) -> Classifier | None:
     """A classifier from ``known`` (doc_id to domain, bounded) rows of ``docs``."""
     domains = sorted(set(known.values()))

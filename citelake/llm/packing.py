@@ -30,7 +30,7 @@ from citelake.llm._common import materialize, ranked, sliced
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 250
+ROUNDS = 500
 #: Signs that may end a word; a run of them is one piece for the tokenizer's pattern.
 SIGNS = ".,!?;:#$%&*"
 #: Entries of a worker's memory of words; it starts anew beyond that.
