@@ -3,34 +3,16 @@ computes the same rows another way (from the integers, without the patterns)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citelake.functions import ids, text
 from citelake.operators import aggregates, joins, windows
 from citelake.operators.detect import mentions
 from citelake.operators.resolve import citations, cited_authorities
-from citelake.plans.notes import NUMBERS_SQL, notes, orders_numbers
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = f"WITH {NUMBERS_SQL} {sql}" if "numbers" in sql else sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from citelake.plans import review  # noqa: F401  registers its queries
+from citelake.plans.notes import notes, orders_numbers
+from citelake.plans.registry import QUERIES, SQL, query, table  # noqa: F401
 
 # identifiers
 
