@@ -35,6 +35,8 @@ BLOCK = 1024
 QUERIES = 512
 #: Blocks of a task's slice: a query leaves one list for each slice.
 SLICE = 64
+#: Pairs whose scores are summed at once.
+PAIRS = 50_000
 AUDIT = 128
 RECALL = 0.95
 NEAREST = 20
@@ -90,17 +92,21 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _top(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) of each query's k best in a block, itself excluded."""
+    """(query, candidate, score) of each query's k best in a block, itself excluded.
+
+    A matrix product rounds by its shape, so that equal vectors may differ in the last
+    bits; it only chooses, with a margin, whose scores are then summed one by one."""
     scores = queries @ vectors.T
     scores[query_ids[:, None] == ids[None, :]] = -np.inf
     m = min(k, len(ids))
-    if m < len(ids):
-        # ties with the m-th stay; they are told apart when all is merged
-        edge = np.partition(scores, len(ids) - m, axis=1)[:, len(ids) - m]
-        q, c = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
-    else:
-        q, c = np.nonzero(np.isfinite(scores))
-    found, near, value = query_ids[q], ids[c], scores[q, c]
+    edge = np.partition(scores, len(ids) - m, axis=1)[:, len(ids) - m]
+    margin = 1e-12 * np.linalg.norm(queries, axis=1) * np.linalg.norm(vectors, axis=1).max()
+    q, c = np.nonzero((scores >= (edge - margin)[:, None]) & np.isfinite(scores))
+    value = np.empty(len(q))
+    for at in range(0, len(q), PAIRS):
+        part = slice(at, at + PAIRS)
+        value[part] = (queries[q[part]] * vectors[c[part]]).sum(axis=1)
+    found, near = query_ids[q], ids[c]
     order = np.lexsort((near, -value, found))
     return _first(found[order], near[order], value[order], k)
 

@@ -53,3 +53,19 @@ def test_small_tables(spark):
     assert neighbours(spark.createDataFrame([], schema)).count() == 0
     got = neighbours(spark.createDataFrame([(0, [1.0, 0.0]), (3, [0.5, 0.0]), (2, [0.5, 1.0])], schema)).collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 2, 0.5), (0, 2, 3, 0.5)]
+
+
+def test_equal_vectors_tie_by_id(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(2500, 16)).astype(np.float32)
+    x[rnd.permutation(2500)[:900]] = 3 * x[0]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    by: dict = {}
+    for r in neighbours(df).collect():
+        by.setdefault((r.query_id, r.score), []).append((r.rank, r.vec_id))
+    several = [sorted(v) for v in by.values() if len(v) > 1]
+    assert several and all([i for _, i in v] == sorted(i for _, i in v) for v in several)
+    copies = {i for i in range(2500) if (x[i] == 3 * x[0]).all()}
+    for (query, _), v in by.items():
+        if len(v) == 20 and query not in copies:
+            assert [i for _, i in sorted(v)] == sorted(copies)[:20]
