@@ -11,8 +11,11 @@ order of time and only while they can still be earlier than the latest kept one.
 Signatures are cut into bands.  Each document is compared, by exact multiset overlap, with the
 smallest of all that share a bucket with it, so copies and near copies of thousands cost one
 comparison each.  Buckets that still hold several components are then searched whole, block
-against block of signatures in memory: only pairs in different components whose signatures
-agree in at least ``LIKELY`` of the places (4.6 standard errors below the threshold) leave a task and are compared by their texts.
+against block of signatures in memory, for pairs in different components whose signatures
+agree in at least ``LIKELY`` of the places (4.6 standard errors below the threshold).  In the
+first ``FORESTS`` rounds only each component's best pair leaves a task, as in Boruvka's
+spanning forests: those pairs are compared by their texts and join most components.  At last
+all such pairs between the components that are left are compared, so that none is missed.
 
 Defined results: words are runs of letters, digits and underscores in lower case;
 documents of one to four words have one shingle; documents without words (null, empty,
@@ -42,6 +45,7 @@ SIGNATURE = BANDS * ROWS
 #: Share of equal places from which two documents of a bucket are compared by their texts.
 LIKELY = 0.65
 BLOCK = 256
+FORESTS = 2
 
 
 def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,27 +191,41 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(_verified, "a long, b long")
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks (arrays of rep, component, places) that may be near copies."""
+def _best_of(components: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The place of each component's pair of the largest share, the first among equals."""
+    order = np.lexsort((-share, components))
+    first = np.r_[True, components[order][1:] != components[order][:-1]] if len(order) else np.zeros(0, bool)
+    return order[first]
+
+
+def _likely(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks (arrays of rep, component, places) that may be near copies; all
+    of them, or the ``best`` of each component."""
     for batch in batches:
         left, right = [], []
         for i in range(batch.num_rows):
             one, other = batch.column("members")[i].values, batch.column("others")[i].values
             a, b = (np.frombuffer(b"".join(x.field("places").to_pylist()), np.uint16).reshape(len(x), -1) for x in (one, other))
             ids, ids_b = one.field("rep").to_numpy(), other.field("rep").to_numpy()
-            apart = one.field("component").to_numpy()[:, None] != other.field("component").to_numpy()[None, :]
+            of, of_b = one.field("component").to_numpy(), other.field("component").to_numpy()
+            apart = of[:, None] != of_b[None, :]
             apart &= ids[:, None] < ids_b[None, :] if batch.column("same")[i].as_py() else True
             x, y = np.nonzero(apart)
+            share = np.empty(len(x))
             for at in range(0, len(x), 20_000):
-                p, q = x[at : at + 20_000], y[at : at + 20_000]
-                near = (a[p] == b[q]).mean(axis=1) >= LIKELY
-                left.append(np.minimum(ids[p[near]], ids_b[q[near]]))
-                right.append(np.maximum(ids[p[near]], ids_b[q[near]]))
+                share[at : at + 20_000] = (a[x[at : at + 20_000]] == b[y[at : at + 20_000]]).mean(axis=1)
+            near = share >= LIKELY
+            x, y, share = x[near], y[near], share[near]
+            if best:
+                chosen = np.union1d(_best_of(of[x], share), _best_of(of_b[y], share))
+                x, y = x[chosen], y[chosen]
+            left.append(np.minimum(ids[x], ids_b[y]))
+            right.append(np.maximum(ids[x], ids_b[y]))
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.empty((2, 0), np.int64)
         yield pa.record_batch([pa.array(pairs[0].astype(np.int64)), pa.array(pairs[1].astype(np.int64))], names=["a", "b"])
 
 
-def _rest(placed: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
+def _rest(placed: DataFrame, label: DataFrame, signed: DataFrame, best: bool) -> DataFrame:
     """Likely pairs in buckets whose members are in several components."""
     known = placed.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     several = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
@@ -217,7 +235,7 @@ def _rest(placed: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
     blocks = materialize(rows.groupBy("bucket", "block").agg(F.collect_list(F.struct("rep", "component", "places")).alias("members")), "blocks")
     ahead = blocks.select("bucket", F.col("block").alias("other"), F.col("members").alias("others"))
     pairs = blocks.join(ahead, "bucket").where("block <= other").select("members", "others", (F.col("block") == F.col("other")).alias("same"))
-    return pairs.mapInArrow(_likely, "a long, b long").distinct()
+    return pairs.mapInArrow(functools.partial(_likely, best=best), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -239,10 +257,13 @@ def classes(docs: DataFrame) -> DataFrame:
     # the smallest companion of each document over all its buckets: one comparison each
     pairs = placed.groupBy("rep").agg(F.min("first").alias("a")).where("a < rep").select("a", F.col("rep").alias("b"))
     links = materialize(_links(pairs, texts), "links")
-    label = materialize(components(links), "labels")
-    with batches_of(docs.sparkSession, 256):
-        more = materialize(_rest(placed, label, one), "pairs")
-    links = links.unionByName(materialize(_links(more, texts), "links"))
+    for turn in range(FORESTS + 1):
+        label = materialize(components(links), "labels")
+        with batches_of(docs.sparkSession, 256):
+            more = materialize(_rest(placed, label, one, best=turn < FORESTS), "pairs")
+        if more.isEmpty():
+            break
+        links = links.unionByName(materialize(_links(more, texts), "links"))
     final = components(links.unionByName(same))
     out = base.select("doc_id").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     class_id = F.coalesce("component", "doc_id")
