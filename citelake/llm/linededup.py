@@ -1,13 +1,14 @@
 """Removal of passages of lines that repeat across documents, with DataFrame functions
 only.
 
-Each line is hashed; a rolling hash over two neighbouring line hashes says where chunks
-may end.  Its parity gives two complementary chunkings, so that any shared run of four
-lines or more holds a chunk with the same ends in every document, wherever the run
-stands (of three or more cuts within it two have the same parity).  A long line
-is a chunk by itself.  Chunks of more than one document are compared byte for byte with
-the first occurrence, extended line by line to both sides as far as the documents
-agree, and removed; the document with the smallest doc_id keeps them.
+A passage is a long line by itself, or two lines or more of ``MIN_CHARS`` characters or more.
+From each line on the shortest such window of lines is hashed, and up to each line the shortest
+one that ends with it; both depend on their own lines only, so that documents that share
+a passage share the windows that cover it, wherever it stands.  Windows of long lines
+only are left out, each line is one by itself.  Windows of more than one document are
+compared byte for byte with the first document's and removed; the document with the smallest
+doc_id keeps them.  So exactly the lines of all passages that a document with a smaller doc_id
+holds go, and nothing needs to be extended.
 
 Defined results: null texts stay null, documents with null doc_id stay as they are and
 take no part; rows of equal doc_id and text are one document given twice and are treated
@@ -18,7 +19,7 @@ and replace columns of these names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelake.llm._common import materialize
@@ -26,10 +27,8 @@ from citelake.llm._common import materialize
 #: A line of as many words (or characters, for scripts without blanks) is a chunk by itself.
 LONG_WORDS = 16
 LONG_CHARS = 200
-#: Least characters of a chunk of several short lines.
+#: Least characters of a passage of several lines, line ends between them included.
 MIN_CHARS = 40
-#: Short lines to each side up to which a repeated chunk is extended.
-REACH = 16
 
 
 def _is_long(line: Column) -> Column:
@@ -37,49 +36,48 @@ def _is_long(line: Column) -> Column:
     return (blanks + 1 >= LONG_WORDS) | (F.length(line) >= LONG_CHARS)
 
 
+def _shortest(lengths: Column, first: Column, second: Column) -> Column:
+    """Lines of the shortest window of two lines or more with ``MIN_CHARS``, from lines of ``first``
+    and ``second`` characters on through ``lengths``; null if there is none."""
+    start = F.struct((first + second + 1).alias("chars"), F.lit(2).alias("len"))
+    more = lambda w, n: F.when(w["chars"] >= MIN_CHARS, w).otherwise(F.struct((w["chars"] + n + 1).alias("chars"), (w["len"] + 1).alias("len")))
+    found = F.aggregate(lengths, start, more, lambda w: F.when(w["chars"] >= MIN_CHARS, w["len"]))
+    return F.when(second.isNull(), None).when(first + second + 1 >= MIN_CHARS, 2).otherwise(found)
+
+
 def _chunks(lined: DataFrame) -> DataFrame:
-    """Chunks of both chunkings and long lines: doc_id, _text_hash, start, len, hash.  Each
-    array is a column of its own: within a lambda it would be made anew for each element."""
-    inner = F.when(F.size("_lines") >= 2, F.sequence(F.lit(1), F.size("_lines") - 1)).otherwise(F.array().cast("array<int>"))
+    """Windows and long lines: doc_id, _text_hash, start, len, hash.  Each array is
+    a column of its own: within a lambda it would be made anew for each element."""
     hashed = lined.select(
         "doc_id",
         "_text_hash",
         F.transform("_lines", lambda x: F.xxhash64(x)).alias("_hashes"),
         F.transform("_lines", lambda x: _is_long(x)).alias("_long"),
-        inner.alias("_inner"),
+        F.transform("_lines", lambda x: F.length(x)).alias("_chars"),
     )
-    rolled = hashed.withColumn("_odd", F.zip_with("_hashes", F.slice("_hashes", F.lit(2), F.size("_hashes")), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(2)) == 1))
-
-    def cuts(odd: bool) -> Column:
-        return F.filter("_inner", lambda i: F.get("_odd", i - 1) == odd)
-
-    def between(inner: str) -> Column:
-        starts = F.concat(F.array(F.lit(0)), F.col(inner))
-        ends = F.concat(F.col(inner), F.array(F.size("_hashes")))
-        return F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a).alias("len"))), lambda c: c["len"] >= 2)
-
-    alone = F.filter(F.transform("_long", lambda x, i: F.when(x, F.struct(i.alias("start"), F.lit(1).alias("len")))), lambda c: c.isNotNull())
-    cut = rolled.select("doc_id", "_text_hash", "_hashes", "_long", cuts(False).alias("_even"), cuts(True).alias("_uneven"))
-    every = cut.select("doc_id", "_text_hash", "_hashes", F.explode(F.array_distinct(F.concat(between("_even"), between("_uneven"), alone))).alias("c"))
-    return every.select("doc_id", "_text_hash", "c.start", "c.len", F.xxhash64(F.slice("_hashes", F.col("c.start") + 1, F.col("c.len"))).alias("hash"))
+    # each line end counts, so that MIN_CHARS + 1 lines always suffice
+    most = MIN_CHARS - 1
+    low = lambda i: F.greatest(i - 1 - most, F.lit(0))
+    onward = F.transform("_chars", lambda n, i: _shortest(F.slice("_chars", i + 3, F.lit(most)), n, F.get("_chars", i + 1)))
+    upto = F.transform("_chars", lambda n, i: _shortest(F.reverse(F.slice("_chars", low(i) + 1, F.greatest(i - 1 - low(i), F.lit(0)))), n, F.get("_chars", i - 1)))
+    sized = hashed.select("doc_id", "_text_hash", "_hashes", "_long", onward.alias("_onward"), upto.alias("_upto"))
 
+    def window(start: Column, size: Column) -> Column:
+        return F.struct(start.alias("start"), size.alias("len"), F.xxhash64(F.slice("_hashes", start + 1, size)).alias("hash"))
 
-def _equal_run(a: Column, b: Column) -> Column:
-    """How many first elements of two arrays are equal."""
-    shared = F.least(F.size(a), F.size(b))
-    same = F.transform(F.slice(a, F.lit(1), shared), lambda x, i: x == F.get(b, i))
-    first = F.array_position(same, F.lit(False))
-    return F.when(shared < 1, 0).when(first == 0, shared).otherwise(first - 1).cast("int")
+    def has_short(start: Column) -> Column:
+        return ~(F.get("_long", start) & F.get("_long", start + 1))
 
-
-def _short_run(lines: Column) -> Column:
-    """The lines before the first long one; long ones are chunks themselves."""
-    at = F.array_position(F.transform(lines, lambda x: _is_long(x)), F.lit(True)).cast("int")
-    return F.when(at == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0))))
+    forward = F.transform("_onward", lambda n, i: F.when(n.isNotNull() & has_short(i), window(i, n)))
+    new = lambda n, i: n.isNotNull() & ~F.get("_onward", i + 1 - n).eqNullSafe(n) & has_short(i - 1)
+    backward = F.transform("_upto", lambda n, i: F.when(new(n, i), window(i + 1 - n, n)))
+    alone = F.transform("_long", lambda x, i: F.when(x, window(i, F.lit(1))))
+    every = F.filter(F.concat(forward, backward, alone), lambda c: c.isNotNull())
+    return sized.select("doc_id", "_text_hash", F.explode(every).alias("c")).select("doc_id", "_text_hash", "c.start", "c.len", "c.hash")
 
 
 def removable(docs: DataFrame) -> DataFrame:
-    """Ranges of lines to remove: doc_id, _text_hash, ranges array of struct(start, end)."""
+    """Ranges of lines to remove, apart from each other: doc_id, _text_hash, ranges array of struct(start, end)."""
     base = docs.select("doc_id", "text").withColumn("_text_hash", F.xxhash64("text")).where("text is not null and doc_id is not null")
     lined = base.withColumn("_lines", F.split("text", "\n", -1))
     chunks = materialize(_chunks(lined), "chunks")
@@ -99,7 +97,6 @@ def removable(docs: DataFrame) -> DataFrame:
         .withColumn("_lines", F.split("text", "\n", -1))
         .select("doc_id", "_text_hash", "_lines", F.explode("_found").alias("c"))
     )
-    low = F.greatest(F.col("c.start") - REACH, F.lit(0))
     occurrences = where_.select(
         F.col("c.hash").alias("hash"),
         "doc_id",
@@ -107,28 +104,18 @@ def removable(docs: DataFrame) -> DataFrame:
         F.col("c.start").alias("start"),
         F.col("c.len").alias("len"),
         (F.col("doc_id") == F.col("c.first_doc")).alias("_is_first"),
-        F.slice("_lines", F.col("c.start") + 1, F.col("c.len")).alias("body"),
-        F.reverse(F.slice(F.col("_lines"), low + 1, F.col("c.start") - low)).alias("before"),
-        F.slice(F.col("_lines"), F.col("c.start") + F.col("c.len") + 1, F.lit(REACH)).alias("after"),
+        F.array_join(F.slice("_lines", F.col("c.start") + 1, F.col("c.len")), "\n").alias("body"),
     )
-    occurrences = occurrences.withColumn("before", _short_run(F.col("before"))).withColumn("after", _short_run(F.col("after"))).where(F.length(F.array_join("body", "\n")) >= MIN_CHARS)
     occurrences = materialize(occurrences, "occurrences")
-    first = (
-        occurrences.where("_is_first")
-        .groupBy("hash")
-        .agg(F.min_by(F.struct("body", "before", "after"), F.struct("start", "_text_hash")).alias("first"))
-    )
-    # the hot chunks' rows lie on one side only; adaptive execution splits them
-    same = occurrences.where("not _is_first").join(first, (occurrences["hash"] == first["hash"]) & (F.col("body") == F.col("first.body")))
-    ranges = same.select(
-        "doc_id",
-        "_text_hash",
-        F.struct(
-            (F.col("start") - _equal_run(F.col("before"), F.col("first.before"))).alias("start"),
-            (F.col("start") + F.col("len") + _equal_run(F.col("after"), F.col("first.after"))).alias("end"),
-        ).alias("range"),
-    )
-    return ranges.groupBy("doc_id", "_text_hash").agg(F.array_sort(F.collect_set("range")).alias("_ranges"))
+    first = occurrences.where("_is_first").select("hash", "len", "body").distinct()
+    # the hot windows' rows lie on one side only; adaptive execution splits them
+    same = occurrences.where("not _is_first").join(first, ["hash", "len", "body"])
+    ranges = same.select("doc_id", "_text_hash", "start", (F.col("start") + F.col("len")).alias("end"))
+    by_place = Window.partitionBy("doc_id", "_text_hash").orderBy("start", "end")
+    before = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    apart = ranges.withColumn("_new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = apart.groupBy("doc_id", "_text_hash", "_run").agg(F.struct(F.min("start").alias("start"), F.max("end").alias("end")).alias("range"))
+    return runs.groupBy("doc_id", "_text_hash").agg(F.array_sort(F.collect_list("range")).alias("_ranges"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

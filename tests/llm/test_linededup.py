@@ -56,3 +56,44 @@ def test_repeats_within_one_document_stay(spark):
 
 def test_empty_table(spark):
     assert without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_shared_run_of_short_lines_goes_wherever_it_stands(spark):
+    rnd = random.Random(11)
+    rows, want, i = [], {}, 0
+    for size in range(2, 9):
+        for _ in range(30):
+            run = [line(rnd, rnd.randint(9, 15)) for _ in range(size)]
+            for copy in (0, 1):
+                a, b = ([line(rnd, rnd.randint(3, 15)) for _ in range(rnd.randint(0, 5))] for _ in range(2))
+                rows.append((i, "\n".join(a + run + b)))
+                want[i] = "\n".join(a + (b if copy else run + b))
+                i += 1
+    got = {r.doc_id: r.text for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] != want[i] for i in want) == 0
+
+
+def brute(docs):
+    """Lines of each document in a long line, or two lines or more of 40 characters, of a smaller doc_id."""
+    out, held = {}, set()
+    for i, text in sorted(docs):
+        lines, gone, own = text.split("\n"), set(), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                body = "\n".join(lines[a:b])
+                if b - a == 1 and (body.count(" ") >= 15 or len(body) >= 200) or b - a > 1 and len(body) >= 40:
+                    own.add(body)
+                    if body in held:
+                        gone |= set(range(a, b))
+        held |= own
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_equal_to_brute_force_on_few_different_lines(spark):
+    rnd = random.Random(3)
+    lines = ["", "a", "bc", line(rnd, 1), line(rnd, 2), line(rnd, 5), line(rnd, 9), line(rnd, 17)]
+    docs = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(1, 12)))) for i in range(120)]
+    docs += [(200, "\n" * 60), (201, "\n" * 60 + "a"), (202, "\n".join("ab" * 30))]
+    got = {r.doc_id: r.text for r in without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
