@@ -97,3 +97,22 @@ def test_equal_to_brute_force_on_few_different_lines(spark):
     docs += [(200, "\n" * 60), (201, "\n" * 60 + "a"), (202, "\n".join("ab" * 30))]
     got = {r.doc_id: r.text for r in without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute(docs)
+
+
+def test_passages_go_whole_at_later_places_and_in_long_runs(spark):
+    rnd = random.Random(21)
+    rows, want, i = [], {}, 0
+    for _ in range(30):
+        a, b, c = ([line(rnd, 6)] for _ in range(3))
+        own = [[line(rnd, 4)] for _ in range(5)]
+        rows += [(i, own[0] + a + b + own[1] + a + b + c), (i + 1, own[2] + a + b + c + own[3])]
+        want[i], want[i + 1] = rows[-2][1], own[2] + own[3]
+        i += 2
+    for n in (40, 60):
+        run = [line(rnd, 1)[:3]] * n
+        rows += [(i, [line(rnd, 3)] + run + [line(rnd, 3)]), (i + 1, [line(rnd, 3)] + run + [line(rnd, 3)])]
+        want[i], want[i + 1] = rows[-2][1], [rows[-1][1][0], rows[-1][1][-1]]
+        i += 2
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in without_repeats(docs).collect()}
+    assert sum(got[i] != "\n".join(want[i]) for i in want) == 0
