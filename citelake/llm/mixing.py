@@ -4,8 +4,9 @@ A classifier learnt from labelled rows gives each document posterior probabiliti
 domains.  Its expected tokens of a domain are its tokens times the posterior.  Nonnegative
 rates r, one for each document, are fitted so that the domains' expected totals meet the
 targets: least squares  |A r - b|^2 / 2 + ridge |r - 1|^2 / 2, by projected
-gradient.  A step needs only the domains' totals, one number per domain, so each step is
-one aggregation over all documents; a document's rate follows from the steps so far.
+gradient; a rate has no upper bound.  A step needs only the domains' totals, one number per
+domain, so each step is one aggregation over all documents; a document's rate follows from the
+steps so far.
 
 The rates are then turned into copies: floor of the rate plus a number between 0 and 1
 that the row's hash decides.
@@ -38,8 +39,6 @@ BITS = 16
 BUCKETS = 2 << BITS
 STEPS = 60
 RIDGE = 1e-3
-#: Copies of a document never exceed it on average; the fit is projected to [0, MOST].
-MOST = 8.0
 #: Evidence of words that depend on each other counts less.
 POWER = 0.3
 
@@ -186,12 +185,13 @@ def rate_of(share: np.ndarray, steps: np.ndarray, ridge: float = RIDGE) -> np.nd
     divides by tokens."""
     r = np.ones(len(share))
     for g in steps:
-        r = np.clip(r - share @ g - ridge * (r - 1), 0.0, MOST)
+        r = np.maximum(r - share @ g - ridge * (r - 1), 0.0)
     return r
 
 
 class Rates:
-    """Fitted rates: the steps' gradients by domain, enough to give any document its rate."""
+    """Fitted rates: the steps' gradients by domain, enough to give any document its rate.
+    ``target`` and ``reached`` are the domains' totals, wanted and expected at these rates."""
 
     def __init__(self, table: DataFrame, model: Classifier, weights: dict[str, float], total: float | None = None, steps: int = STEPS):
         self.model = model
@@ -206,17 +206,17 @@ class Rates:
             some = wanted > 0
             total = 1.02 * float((now[some] / wanted[some]).max()) if some.any() else 0.0
         self.target, self.start = wanted * total, now
-        self.steps = np.zeros((0, k))
+        self.steps, self.reached = np.zeros((0, k)), now
         scale = np.maximum(now, 1.0)
         if not now.sum():
             return
         for _ in range(steps):
-            reached = self._totals(spark, table)
-            residual = (reached - self.target) / scale
+            residual = (self.reached - self.target) / scale
             if np.abs(residual).max() < 1e-3:
                 break
             # posteriors are below one, so a step of the domains' relative excess is stable
             self.steps = np.vstack([self.steps, residual])
+            self.reached = self._totals(spark, table)
 
     def _totals(self, spark, table: DataFrame) -> np.ndarray:
         steps = self.steps

@@ -67,3 +67,27 @@ def test_edges(spark):
     some = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert mixed_rates(docs, some).where("tokens = 0").select("copies").distinct().count() == 1
     assert mixed_rates(docs.where("false"), some).count() == 0
+
+
+def test_targets_are_met_where_rates_are_high(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(1500):
+        lang = ("en", "fr", "de", "es")[0 if i % 50 < 40 else 1 if i % 50 < 45 else 2 if i % 50 < 49 else 3]
+        rows.append((i, " ".join(rnd.choice(WORDS[lang].split()) + rnd.choice(("", "", "x", "yz")) for _ in range(100)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    totals = defaultdict(float)
+    got = {r.doc_id: r for r in mixed_rates(docs, labels).collect()}
+    for i, _, lang in rows:
+        totals[lang] += got[i].rate * got[i].tokens
+    share = {d: totals[d] / sum(totals.values()) for d in totals}
+    for d, w in WEIGHTS.items():
+        assert abs(share[d] - w) < 0.01 * w, share
+    assert max(r.rate for r in got.values()) > 8
+    model = trained(docs, known_domains(docs, labels))
+    table = members(docs, model)
+    fit = Rates(table, model, WEIGHTS)
+    posterior, tokens = np.array([r.posterior for r in table.collect()]), np.array([r.tokens for r in table.collect()])
+    assert np.allclose(fit.reached, posterior.T @ (rate_of(posterior, fit.steps) * tokens))
+    assert np.allclose(fit.reached, fit.target, rtol=0.01)
