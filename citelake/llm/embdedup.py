@@ -4,9 +4,11 @@ Equal vectors of one label are collapsed first.  Each vector starts with its nea
 in blocks of several random orderings (signs of projections, range-partitioned).  Rounds of
 NN-descent follow: the neighbours of each vector, forward and a sample of backward ones,
 are compared with each other, and each keeps its ``LIST`` best.  Edges of the threshold or
-more give components.  A list that holds only such edges is saturated, it may hide others;
-therefore lists of whole components are enlarged to the component, as blocks compared with
-blocks that give counts and not pairs, and no cluster's size is capped.
+more give components.  A list that holds only such edges is saturated, it may hide others,
+within its component and to other ones.  Whatever edge a list dropped has saturated lists at
+both ends; therefore all saturated vectors of a label are compared, blocks with blocks, and
+components that they link are one.  Then lists of whole components are enlarged to the
+component, as blocks that give counts and not pairs, and no cluster's size is capped.
 
 Recall is audited on a bounded sample of vectors against all vectors of their label; rounds go
 on, with lists twice as long, while it is below ``RECALL``.
@@ -132,6 +134,49 @@ def _descended(edges: DataFrame, vectors: DataFrame, k: int, turn: int) -> DataF
     return _compared(groups, k)
 
 
+def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what ``linked`` (left x right) joins, at most one for each row and column:
+    each to the least component reachable."""
+    row, column = np.nonzero(linked)
+    a, b = left.copy(), right.copy()
+    while True:
+        new, other = a.copy(), b.copy()
+        np.minimum.at(new, row, b[column])
+        np.minimum.at(other, column, new[row])
+        if (new == a).all() and (other == b).all():
+            break
+        a, b = new, other
+    start, end = np.append(left, right), np.append(a, b)
+    return start[start != end], end[start != end]
+
+
+def _joined(vectors: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links between different components of ``vectors``, all of a label compared: edges (a, b) of
+    components that join the same as all links."""
+    placed_by = F.concat(F.length("unit").cast("string"), F.lit(" "), F.col("label"))
+    rows = vectors.join(parts, "id", "left").select(F.coalesce("component", "id").alias("component"), placed_by.alias("group"), "id", "unit")
+    placed = ranked(rows, "group", ["component", "id"], "_place").withColumn("block", F.floor(F.col("_place") / BLOCK).cast("int"))
+    blocks = placed.groupBy("group", "block").agg(F.collect_list(F.struct("component", "unit")).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+    blocks = materialize(blocks, "blocks")
+    number = blocks.groupBy("group").agg(F.count("*").alias("_blocks"))
+    left = blocks.join(number, "group").withColumn("other", F.explode(F.sequence(F.col("block"), (F.col("_blocks") - 1).cast("int"))))
+    right = blocks.select("group", F.col("block").alias("other"), F.col("members").alias("others"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    differ = F.least("low", "_low") < F.greatest("high", "_high")
+    pairs = left.join(right, ["group", "other"]).where(differ).select("members", "others")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = batch.column("members")[i].values, batch.column("others")[i].values
+                mine, theirs = a.field("component").to_numpy(), b.field("component").to_numpy()
+                linked = _unit(a.field("unit").to_pylist()) @ _unit(b.field("unit").to_pylist()).T >= THRESHOLD
+                linked &= mine[:, None] != theirs[None, :]
+                start, end = _forest(linked, mine, theirs)
+                yield pa.record_batch([pa.array(start), pa.array(end)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long").distinct()
+
+
 def _counted(vectors: DataFrame, parts: DataFrame) -> DataFrame:
     """Exact links within components: id, links (weighted by copies), other than its copies."""
     rows = vectors.join(parts, "id").select("id", "component", "unit", "copies")
@@ -214,7 +259,14 @@ def linked(table: DataFrame) -> DataFrame:
             edges, turn = more, turn + 1
             if parts is not None:
                 break
-        parts = materialize(components(edges.where(F.col("sim") >= THRESHOLD).select("a", "b")), "parts")
+        near = edges.where(F.col("sim") >= THRESHOLD).select("a", "b")
+        parts = materialize(components(near), "parts")
+        # a list of more than LIST now may have been full before
+        saturated = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= LIST).select(F.col("a").alias("id"))
+        with batches_of(spark, 32):
+            links = materialize(_joined(vectors.join(saturated, "id"), parts), "links")
+        if not links.isEmpty():
+            parts = materialize(components(near.unionByName(links).unionByName(parts.select(F.col("id").alias("a"), F.col("component").alias("b")))), "parts")
         with batches_of(spark, 32):
             counts = materialize(_counted(vectors, parts), "counts")
         if turn >= MOST_ROUNDS or _recall(vectors, counts) >= RECALL:

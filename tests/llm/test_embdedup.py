@@ -46,3 +46,20 @@ def test_edges(spark):
     assert linked(spark.createDataFrame([], schema)).count() == 0
     got = linked(spark.createDataFrame([(2, [1.0], 1), (2, [1.0], 1), (None, [1.0], 1), (5, [1.0, 2.0], 1)], schema)).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in got) == [(0, 2, 2), (2, 2, 2), (2, 2, 2), (5, 0, 5)]
+
+
+def test_dense_groups_just_above_the_threshold_are_linked(spark):
+    rnd = np.random.default_rng(9)
+    rows = [(i, rnd.normal(size=24), i % 2) for i in range(800)]
+    for label in (0, 1):
+        for n in (15, 40, 700):
+            one, way = rnd.normal(size=(2, 24))
+            one /= np.linalg.norm(one)
+            way -= (way @ one) * one
+            other = 0.935 * one + np.sqrt(1 - 0.935**2) * way / np.linalg.norm(way)
+            for centre in (one, other):
+                rows += [(len(rows) + j, centre + 0.0005 * rnd.normal(size=24), label) for j in range(n)]
+    rows = [(i, [float(x) for x in np.float32(v)], label) for i, v, label in rows]
+    got = {r.vec_id: r for r in linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    want = brute(rows)
+    assert sum((r.n_links, r.component_id) != want[v] for v, r in got.items()) == 0
