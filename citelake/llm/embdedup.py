@@ -10,8 +10,10 @@ both ends; therefore all saturated vectors of a label are compared, blocks with
 components that they link are one.  Then lists of whole components are enlarged to the
 component, as blocks that give counts and not pairs, and no cluster's size is capped.
 
-Recall is audited on a bounded sample of vectors against all vectors of their label; rounds go
-on, with lists twice as long, while it is below ``RECALL``.
+Recall is audited on bounded samples of vectors with few and with many links found, against all
+vectors of their label, as the mean over vectors; rounds go on, with lists twice as long, while
+either is below ``RECALL``.  Where it stays so, or where too few vectors of the first sample have
+links to tell, all vectors of a label are compared, blocks with blocks.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and
 rows without a label, have no links and are their own component; vectors of different
@@ -39,6 +41,8 @@ BITS = 48
 BLOCK = 512
 ROUNDS, MOST_ROUNDS = 2, 6
 AUDIT = 256
+#: Vectors with fewer links than LIST that are audited, and how many of them must have links to tell.
+AUDIT_SMALL, TELLING = 2048, 16
 RECALL = 0.995
 SEED = 77
 
@@ -199,9 +203,12 @@ def _counted(vectors: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _recall(vectors: DataFrame, counts: DataFrame) -> float:
-    """Links of a bounded sample of vectors that the counts hold."""
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "label", "unit").collect()
+def _recall(vectors: DataFrame, counts: DataFrame) -> float | None:
+    """Mean share of a vector's links that the counts hold: the lower one of bounded samples
+    of vectors with few and with many of them; None if too few have links to tell."""
+    sized = vectors.join(counts, "id", "left").select("id", "label", "unit", (F.coalesce("links", F.lit(0)) >= LIST).alias("many"))
+    few = sized.where("not many").orderBy(F.xxhash64("id"), "id").limit(AUDIT_SMALL).collect()
+    sample = few + sized.where("many").orderBy(F.xxhash64("id"), "id").limit(AUDIT).collect()
     if not sample:
         return 1.0
     by: dict[tuple[str, int], list] = {}
@@ -224,8 +231,12 @@ def _recall(vectors: DataFrame, counts: DataFrame) -> float:
                     yield pa.record_batch([pa.array(queries), pa.array(linked @ copies[at])], names=["id", "true_links"])
 
     true = vectors.select("id", "label", "unit", "copies").mapInArrow(run, "id long, true_links long").groupBy("id").agg(F.sum("true_links").alias("true_links"))
-    both = true.join(counts, "id", "left").agg(F.sum("true_links"), F.sum(F.coalesce("links", F.lit(0)))).first()
-    return (both[1] or 0) / both[0] if both[0] else 1.0
+    both = true.where("true_links > 0").join(counts, "id", "left").select("id", (F.coalesce("links", F.lit(0)) / F.col("true_links")).alias("share")).collect()
+    small = {r["id"] for r in few}
+    shares = [[r["share"] for r in both if (r["id"] in small) == own] for own in (True, False)]
+    if len(few) == AUDIT_SMALL and len(shares[0]) < TELLING:
+        return None
+    return min((float(np.mean(x)) for x in shares if x), default=1.0)
 
 
 def linked(table: DataFrame) -> DataFrame:
@@ -269,7 +280,15 @@ def linked(table: DataFrame) -> DataFrame:
             parts = materialize(components(near.unionByName(links).unionByName(parts.select(F.col("id").alias("a"), F.col("component").alias("b")))), "parts")
         with batches_of(spark, 32):
             counts = materialize(_counted(vectors, parts), "counts")
-        if turn >= MOST_ROUNDS or _recall(vectors, counts) >= RECALL:
+        recall = _recall(vectors, counts)
+        if recall is not None and recall >= RECALL:
+            break
+        if recall is None or turn >= MOST_ROUNDS:
+            with batches_of(spark, 32):
+                links = materialize(_joined(vectors, parts), "links")
+            parts = materialize(components(links.unionByName(parts.select(F.col("id").alias("a"), F.col("component").alias("b")))), "parts")
+            with batches_of(spark, 32):
+                counts = materialize(_counted(vectors, parts), "counts")
             break
         k *= 2
     placed = member.join(parts, "id", "left").join(counts, "id", "left").withColumn("_part", F.coalesce("component", "id"))

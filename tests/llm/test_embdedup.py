@@ -1,5 +1,6 @@
 import numpy as np
 
+from citelake.llm import embdedup
 from citelake.llm.embdedup import linked
 
 
@@ -63,3 +64,30 @@ def test_dense_groups_just_above_the_threshold_are_linked(spark):
     got = {r.vec_id: r for r in linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
     want = brute(rows)
     assert sum((r.n_links, r.component_id) != want[v] for v, r in got.items()) == 0
+
+
+def test_audit_sees_small_groups_beside_a_large_one(spark):
+    rnd = np.random.default_rng(6)
+    centre = rnd.normal(size=24)
+    unit = [centre + 0.01 * rnd.normal(size=24) for _ in range(500)]
+    for _ in range(100):
+        v = rnd.normal(size=24)
+        unit += [v, v + 0.01 * rnd.normal(size=24)]
+    rows = [(i, "0", bytearray((v / np.linalg.norm(v)).tobytes()), 1) for i, v in enumerate(unit)]
+    vectors = spark.createDataFrame(rows, "id long, label string, unit binary, copies long")
+    counts = spark.createDataFrame([(i, 499) for i in range(500)], "id long, links long")
+    assert embdedup._recall(vectors, counts) < embdedup.RECALL
+
+
+def test_whole_result_where_recall_stays_low(spark, monkeypatch):
+    monkeypatch.setattr(embdedup, "ORDERS", 1)
+    monkeypatch.setattr(embdedup, "MOST_ROUNDS", 2)
+    monkeypatch.setattr(embdedup, "BLOCK", 64)
+    rnd = np.random.default_rng(7)
+    centre = rnd.normal(size=24)
+    rows = [rnd.normal(size=24) for _ in range(1000)] + [centre + 0.1 * rnd.normal(size=24) for _ in range(600)]
+    rows += [v + 0.3 * rnd.normal(size=24) for v in rows[:100]]
+    rows = [(i, [float(x) for x in np.float32(v)], 0) for i, v in enumerate(rows)]
+    got = {r.vec_id: r for r in linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    want = brute(rows)
+    assert sum((r.n_links, r.component_id) != want[v] for v, r in got.items()) == 0
