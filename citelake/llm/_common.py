@@ -5,26 +5,42 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session.  Only where it is unset (tests) a folder of the warehouse is used."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    Only a local session, which has one machine, may do without: it gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + _local_dir()
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+@functools.lru_cache(maxsize=1)
+def _local_dir() -> str:
+    path = tempfile.mkdtemp(prefix="citelake-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the
     lineage, survives lost executors, and is computed once."""
@@ -54,11 +70,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
-        try:
+        # the session may already be gone at exit; each folder is tried
+        with contextlib.suppress(Exception):
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may already be gone at exit
-            return
 
 
 @contextlib.contextmanager
@@ -82,24 +97,58 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str = "rank") -> D
     """``df`` with a gapless long from 0 within each value of ``group``, by ``order``.
 
     Rows are range-partitioned by (group, order), so that a hot group spreads over
-    many tasks; each partition numbers its own rows and gets the count of the group's
-    rows before it.  The offsets are one row for each partition and each boundary of
-    groups in it, never more than partitions + groups.  Ties are numbered in the order
-    in which they lie in the written table.
+    many tasks, and each partition numbers its own rows.  Only the first group of a
+    partition can have begun in an earlier one; so a partition has one offset, and as
+    many rows are broadcast as there are partitions.  Ties are numbered in the order in
+    which they lie in the written table.  Ranges are chosen from a sample of ``df``, which
+    is therefore computed twice: give it a written table if it is dear.
     """
     spark = df.sparkSession
-    n = shuffle_partitions(spark)
-    laid = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order)
-    laid = materialize(laid.withColumn("_rank_at", F.monotonically_increasing_id()), "ranked")
-    laid = laid.withColumn("_rank_part", F.shiftright("_rank_at", 33))
-    parts = laid.groupBy("_rank_part", F.col(group).alias("_rank_group")).agg(F.min("_rank_at").alias("_rank_low"), F.count("*").alias("_rank_n"))
-    before = Window.partitionBy("_rank_group").orderBy("_rank_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_rank_part", "_rank_group", "_rank_low", F.coalesce(F.sum("_rank_n").over(before), F.lit(0)).alias("_rank_before"))
-    joined = laid.join(F.broadcast(parts), (laid["_rank_part"] == parts["_rank_part"]) & laid[group].eqNullSafe(parts["_rank_group"]))
-    return joined.select(*df.columns, (F.col("_rank_at") - F.col("_rank_low") + F.col("_rank_before")).alias(name))
-
-
-def sliced(batch: pa.RecordBatch, column: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    laid = df.repartitionByRange(shuffle_partitions(spark), group, *order).sortWithinPartitions(group, *order)
+    schema = T.StructType([*df.schema.fields, T.StructField("_rank_part", T.IntegerType()), T.StructField("_rank_run", T.LongType()), T.StructField(name, T.LongType())])
+    at = df.columns.index(group)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last, run, count = None, -1, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            values = batch.column(at)
+            # a place where another group starts; nulls are a group
+            codes = pa.concat_arrays([pa.array([last], values.type), values]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = codes[1:] != codes[:-1]
+            starts[0] |= run < 0
+            runs = run + np.cumsum(starts)
+            places = np.arange(n)
+            begin = np.maximum.accumulate(np.where(starts, places, -1))
+            rank = np.where(begin < 0, places + count, places - begin)
+            last, run, count = values[n - 1].as_py(), int(runs[-1]), int(rank[-1]) + 1
+            new = [pa.array(np.full(n, part, np.int32)), pa.array(runs.astype(np.int64)), pa.array(rank.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema=None, names=schema.names)
+
+    laid = materialize(laid.mapInArrow(numbered, schema), "ranked")
+    ends = laid.groupBy("_rank_part").agg(
+        F.max("_rank_run").alias("runs"),
+        F.min_by(F.struct(group), "_rank_run").alias("first"),
+        F.max_by(F.struct(group), "_rank_run").alias("last"),
+        F.max(F.struct("_rank_run", name)).alias("tail"),
+    )
+    # one row for each partition
+    offsets, running, before = [], 0, None
+    for r in ends.orderBy("_rank_part").select("_rank_part", "runs", "first", "last", F.col("tail")[name].alias("last_n")).collect():
+        running = running if before is not None and r["first"] == before else 0
+        offsets.append((r["_rank_part"], running))
+        running = (running if r["runs"] == 0 else 0) + r["last_n"] + 1
+        before = r["last"]
+    table = spark.createDataFrame(offsets, "_rank_part int, _rank_before long")
+    joined = laid.join(F.broadcast(table), "_rank_part")
+    rank = F.col(name) + F.when(F.col("_rank_run") == 0, F.col("_rank_before")).otherwise(0)
+    return joined.select(*df.columns, rank.alias(name))
+
+
+def sliced(batch: pa.RecordBatch, column: str, chars: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Pieces of an Arrow batch of about ``chars`` bytes of text, one row at least, so
     that a worker's memory is bounded by that and the longest text."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citelake.llm._common import materialize, release
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(id, component) for each id in ``edges`` (a, b): the smallest id reachable.
 
     Alternating large-star and small-star steps: each node links its larger, then its
@@ -32,6 +33,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components have not converged in {rounds} rounds")
     nodes = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return nodes.unionByName(roots)
+
+
+def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what ``linked`` (left x right) joins, at most one for each row and column:
+    each to the least component reachable."""
+    row, column = np.nonzero(linked)
+    # a component stands at several rows and columns: number them
+    names, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = place[: len(left)][row], place[len(left) :][column]
+    root = np.arange(len(names))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            break
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return names[moved], names[root[moved]]

@@ -1,16 +1,20 @@
-"""Tokens of texts as 64-bit hashes, for the operators that work on words."""
+"""Tokens of texts as 64-bit hashes, for the operators that work on words.
+
+Texts of a batch are put end to end as code points; tokens are runs of one kind of
+character, and a token's hash is a difference of prefix sums.  So the cost is a few array
+operations per character, and no memory of words grows in a worker.
+"""
 
 from __future__ import annotations
 
 import functools
-import re
+import sys
 
 import numpy as np
-import xxhash
 
-TOKENS = re.compile(r"\w+|[^\w\s]+")
-WORDS = re.compile(r"\w+")
-_MASK = (1 << 64) - 1
+#: Kinds of characters: white space, signs, and two of words (bit 1 set).
+SPACE, SIGN, OTHER, LETTER = 0, 1, 2, 3
+_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,47 +33,67 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
-class Hashes(dict):
-    """Hashes of words, computed once per word; starts anew when it has grown large."""
-
-    def __init__(self, kept: int = 500_000):
-        super().__init__()
-        self.kept = kept
-
-    def value(self, word: str) -> int:
-        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
-
-    def __missing__(self, word: str) -> int:
-        value = self.value(word)
-        if len(self) >= self.kept:
-            self.clear()
-        self[word] = value
-        return value
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-class Stems(Hashes):
-    """Hashes of the first letters of words, 0 for shorter ones and what isn't letters."""
-
-    def value(self, word: str) -> int:
-        return super().value(word[:4]) if len(word) > 4 and word.isalpha() else 0
-
-
 @functools.lru_cache(maxsize=1)
-def stems() -> Stems:
-    return Stems()
+def kinds() -> np.ndarray:
+    """The kind of each code point, as the regular expressions ``\\w`` and ``\\s`` see it."""
+    out = np.full(sys.maxunicode + 1, SIGN, np.uint8)
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if c.isalnum() or c == "_":
+            out[ord(c)] = LETTER if c.isalpha() else OTHER
+        elif c.isspace():
+            out[ord(c)] = SPACE
+    return out
 
 
 @functools.lru_cache(maxsize=1)
-def hashes() -> Hashes:
-    """One memory of words for each worker process, for all its tasks."""
-    return Hashes()
-
-
-def flat(texts: list[str | None], known: Hashes, pattern: re.Pattern = TOKENS) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all texts in one array, and how many each text has."""
-    parts = [known.of(pattern.findall(t.lower())) if t else np.empty(0, np.uint64) for t in texts]
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), sizes
+def _values() -> np.ndarray:
+    return mixed(np.arange(sys.maxunicode + 1, dtype=np.uint64) + np.uint64(0xD1B54A32D192ED03))
+
+
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the base and of its inverse modulo 2^64."""
+    if len(_powers[0]) <= n:
+        size = 1 << int(n).bit_length()
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers[0], _powers[1]
+
+
+def tokens(texts: list[str | None], signs: bool = True, stem: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts in lower case in one array, hashes of their stems,
+    and how many tokens each text has.
+
+    Tokens are words (letters, digits, underscores) and, with ``signs``, runs of other
+    characters between white space.  A stem is the first ``stem`` characters of a longer
+    word, if they are letters; else 0 (and the array is empty if none is asked for).
+    """
+    lower = [t.lower() if t else "" for t in texts]
+    lengths = np.fromiter(map(len, lower), np.int64, len(lower)) + 1
+    codes = np.frombuffer((" ".join(lower) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(lower):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    kind = kinds()[codes]
+    run = np.minimum(kind, OTHER)
+    edge = np.flatnonzero(run[1:] != run[:-1]) + 1
+    start = np.concatenate([[0], edge])
+    end = np.concatenate([edge, [len(run)]])
+    has = run[start] == OTHER if not signs else run[start] != SPACE
+    start, end = start[has], end[has]
+    power, inverse = _power(len(codes))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_values()[codes] * power[: len(codes)], out=sums[1:])
+    out = mixed((sums[end] - sums[start]) * inverse[start])
+    stems = np.empty(0, np.uint64)
+    if stem:
+        stems = np.zeros(len(start), np.uint64)
+        long = np.flatnonzero(end - start > stem)
+        for k in range(stem):
+            long = long[kind[start[long] + k] == LETTER]
+        stems[long] = mixed((sums[start[long] + stem] - sums[start[long]]) * inverse[start[long]])
+    ends = np.searchsorted(start, np.cumsum(lengths))
+    return out, stems, np.diff(ends, prepend=0)

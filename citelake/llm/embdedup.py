@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citelake.llm._common import batches_of, materialize, ranked, release
-from citelake.llm._graph import components
+from citelake.llm._graph import components, forest
 from citelake.llm.ann import usable
 
 THRESHOLD = 0.93
@@ -138,22 +138,6 @@ def _descended(edges: DataFrame, vectors: DataFrame, k: int, turn: int) -> DataF
     return _compared(groups, k)
 
 
-def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what ``linked`` (left x right) joins, at most one for each row and column:
-    each to the least component reachable."""
-    row, column = np.nonzero(linked)
-    a, b = left.copy(), right.copy()
-    while True:
-        new, other = a.copy(), b.copy()
-        np.minimum.at(new, row, b[column])
-        np.minimum.at(other, column, new[row])
-        if (new == a).all() and (other == b).all():
-            break
-        a, b = new, other
-    start, end = np.append(left, right), np.append(a, b)
-    return start[start != end], end[start != end]
-
-
 def _joined(vectors: DataFrame, parts: DataFrame) -> DataFrame:
     """Links between different components of ``vectors``, all of a label compared: edges (a, b) of
     components that join the same as all links."""
@@ -175,7 +159,7 @@ def _joined(vectors: DataFrame, parts: DataFrame) -> DataFrame:
                 mine, theirs = a.field("component").to_numpy(), b.field("component").to_numpy()
                 linked = _unit(a.field("unit").to_pylist()) @ _unit(b.field("unit").to_pylist()).T >= THRESHOLD
                 linked &= mine[:, None] != theirs[None, :]
-                start, end = _forest(linked, mine, theirs)
+                start, end = forest(linked, mine, theirs)
                 yield pa.record_batch([pa.array(start), pa.array(end)], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long").distinct()

@@ -8,25 +8,30 @@ into one of ``SIGNATURE`` places, and a place keeps the earliest point.  Two doc
 a place with the probability of their weighted Jaccard similarity.  Points are made in
 order of time and only while they can still be earlier than the latest kept one.
 
-Signatures are cut into bands.  Each document is compared, by exact multiset overlap, with the
-smallest of all that share a bucket with it, so copies and near copies of thousands cost one
-comparison each.  Buckets that still hold several components are then searched whole, block
-against block of signatures in memory, for pairs in different components whose signatures
-agree in at least ``LIKELY`` of the places (4.6 standard errors below the threshold).  In the
-first ``FORESTS`` rounds only each component's best pair leaves a task, as in Boruvka's
-spanning forests: those pairs are compared by their texts and join most components.  At last
-all such pairs between the components that are left are compared, so that none is missed.
+Signatures are cut into bands; documents that share a band share a bucket.  Equal multisets are
+collapsed to one node first.  Then, by exact multiset overlap:
+
+1. each node is compared with the smallest one of all that share a bucket with it, so that
+   copies and near copies of thousands cost one comparison each;
+2. buckets whose nodes are still in several classes are cut into blocks of bounded volume, by
+   size, and a block's nodes are compared in memory;
+3. buckets of several blocks that still hold several classes are cut into blocks anew, large
+   classes apart, and blocks are compared with blocks, but for blocks of one and the same
+   class and blocks whose sizes differ too much for the threshold.
+
+A comparison of blocks counts common elements as a product of incidence matrices and leaves only
+edges of a spanning forest, at most one for each node of it; no pairs are emitted.
 
 Defined results: words are runs of letters, digits and underscores in lower case;
 documents of one to four words have one shingle; documents without words (null, empty,
 signs only) are classes of their own and kept; equal multisets are one class; rows with
-null doc_id are left out of ``classes`` and kept by ``without_near_copies``; of rows with
-the same doc_id one stays there if the class keeps that doc_id.
+null doc_id are left out of ``classes`` and kept by ``without_near_copies``; a doc_id given
+with several texts is one document that is near all that any of its texts is near; of rows with
+the same doc_id all stay there if the class keeps that doc_id.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,30 +39,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm._common import batches_of, materialize, ranked, sliced
-from citelake.llm._graph import components
-from citelake.llm._text import WORDS, hashes, mixed, uniform
+from citelake.llm._common import batches_of, materialize, ranked, release, sliced
+from citelake.llm._graph import components, forest
+from citelake.llm._text import mixed, tokens, uniform
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
 SIGNATURE = BANDS * ROWS
-#: Share of equal places from which two documents of a bucket are compared by their texts.
-LIKELY = 0.65
-BLOCK = 256
-FORESTS = 2
+#: Most nodes of a block, and most elements of one with more than one node.
+BLOCK, VOLUME = 256, 1 << 16
+#: Numbers of an incidence matrix at once.
+CELLS = 1 << 22
 
 
 def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of several texts: text, hash, multiplicity; by text and hash."""
-    known = hashes()
-    parts = [known.of(WORDS.findall(t.lower())) if t else np.empty(0, np.uint64) for t in texts]
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    words, _, sizes = tokens(texts, signs=False)
     # short ones are padded, so that they have one shingle
-    pad = np.zeros(size - 1, np.uint64)
-    parts = [np.concatenate([p, pad[: size - len(p)]]) if 0 < len(p) < size else p for p in parts]
-    sizes = np.where((sizes > 0) & (sizes < size), size, sizes)
-    words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    short = np.flatnonzero((sizes > 0) & (sizes < size))
+    ends = np.cumsum(sizes)[short]
+    words = np.insert(words, np.repeat(ends, size - sizes[short]), 0)
+    sizes[short] = size
     text = np.repeat(np.arange(len(sizes)), sizes)
     if len(words) < size:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -86,7 +89,7 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int
         if not more.any():
             break
         doc.append(text[more])
-        seed.append(mixed(element[more] + np.uint64(level) * np.uint64(0xD1B54A32D192ED03)))
+        seed.append(mixed(element[more] + np.uint64(level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)))
         low.append(np.full(more.sum(), float(start)))
         width.append(np.full(more.sum(), float(start)))
         top.append(weight[more].astype(float))
@@ -132,142 +135,185 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(whole, "text"):
             n = batch.num_rows
             text, element, weight = shingles(batch.column("text").to_pylist())
-            signature = signatures(text, element, weight, n)
-            bands = bands_of(signature)
-            # 16 bits of each place are enough to tell points apart
-            short = mixed(signature.view(np.uint64)).astype(np.uint16)
+            bands = bands_of(signatures(text, element, weight, n))
             # the multiset's own hash, in two halves: equal ones are one class
             sums = np.zeros((2, n), np.uint64)
             for k in (0, 1):
                 part = mixed(element * np.uint64(2 * k + 1) + weight.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
                 np.add.at(sums[k], text, mixed(part + np.uint64(k)))
-            has = np.zeros(n, bool)
-            has[text] = True
+            none = np.ones(n, bool)
+            none[text] = False
+            size = np.bincount(text, weight, minlength=n).astype(np.int64)
             columns = [
                 batch.column("doc_id"),
-                pa.array(sums[0].view(np.int64)),
-                pa.array(sums[1].view(np.int64)),
+                batch.column("text_hash"),
+                pa.array(sums[0].view(np.int64), mask=none),
+                pa.array(sums[1].view(np.int64), mask=none),
+                pa.array(size),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel())),
-                pa.array([x.tobytes() for x in short], pa.binary()),
             ]
-            yield pa.record_batch(columns, names=["doc_id", "key1", "key2", "bands", "places"]).filter(pa.array(has))
-
+            yield pa.record_batch(columns, names=["doc_id", "text_hash", "key1", "key2", "size", "bands"])
 
-@functools.lru_cache(maxsize=1)
-def _parsed() -> dict:
-    return {}
 
+def elements(text: str) -> np.ndarray:
+    """A multiset as a set: each occurrence of a shingle is an element."""
+    _, h, n = shingles([text])
+    turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.sort(np.repeat(h, n) + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-def _multiset(doc_id: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-    known = _parsed()
-    key = (doc_id, len(text), hash(text))
-    if key not in known:
-        if sum(len(v[0]) for v in known.values()) > 2_000_000:
-            known.clear()
-        _, h, n = shingles([text])
-        known[key] = (h, n)
-    return known[key]
 
-
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two multisets (sorted hashes, multiplicities)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = int(np.minimum(a[1][i], b[1][j]).sum())
-    return shared / (int(a[1].sum()) + int(b[1].sum()) - shared)
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in sliced(whole, "text"):
+            raw = [elements(t).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("node"), pa.array(raw, pa.binary())], names=["node", "elements"])
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two multisets (their ``elements``)."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
+
+
+def near(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which of the multisets of ``left`` and ``right`` (``left`` itself, if none) overlap enough."""
+    every = left if right is None else left + right
+    sizes = np.fromiter(map(len, every), np.int64, len(every))
+    _, place, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(len(every)), sizes)
+    # only elements of more than one are of use
+    number = np.cumsum(count > 1) - 1
+    use = count[place] > 1
+    of, place = of[use], number[place[use]]
+    order = np.argsort(place, kind="stable")
+    of, place = of[order], place[order]
+    cut = len(left)
+    shared = np.zeros((cut, cut if right is None else len(right)), np.float32)
+    width = max(1, CELLS // len(every))
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        a, b = np.searchsorted(place, (low, low + width))
+        cells = np.zeros((len(every), min(width, int(place[b - 1]) + 1 - low)), np.float32)
+        cells[of[a:b], place[a:b] - low] = 1
+        shared += cells[:cut] @ (cells if right is None else cells[cut:]).T
+    other = sizes[:cut] if right is None else sizes[cut:]
+    return shared / (sizes[:cut, None] + other[None, :] - shared.astype(np.float64)) >= THRESHOLD
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, s, t = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-        found = [(x, y) for x, y, u, v in zip(a, b, s, t, strict=True) if overlap(_multiset(x, u), _multiset(y, v)) >= THRESHOLD]
-        yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts overlap enough."""
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(_verified, "a long, b long")
+        keep = [overlap(x, y) >= THRESHOLD for x, y in zip(_arrays(batch.column("elements_a")), _arrays(batch.column("elements_b")), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _best_of(components: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """The place of each component's pair of the largest share, the first among equals."""
-    order = np.lexsort((-share, components))
-    first = np.r_[True, components[order][1:] != components[order][:-1]] if len(order) else np.zeros(0, bool)
-    return order[first]
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges between the classes of each block's members (array of struct(label, elements))."""
+    for batch in batches:
+        for members in batch.column("members"):
+            label = members.values.field("label").to_numpy()
+            a, b = forest(near(_arrays(members.values.field("elements"))), label, label)
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks (arrays of rep, component, places) that may be near copies; all
-    of them, or the ``best`` of each component."""
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = [], []
-        for i in range(batch.num_rows):
-            one, other = batch.column("members")[i].values, batch.column("others")[i].values
-            a, b = (np.frombuffer(b"".join(x.field("places").to_pylist()), np.uint16).reshape(len(x), -1) for x in (one, other))
-            ids, ids_b = one.field("rep").to_numpy(), other.field("rep").to_numpy()
-            of, of_b = one.field("component").to_numpy(), other.field("component").to_numpy()
-            apart = of[:, None] != of_b[None, :]
-            apart &= ids[:, None] < ids_b[None, :] if batch.column("same")[i].as_py() else True
-            x, y = np.nonzero(apart)
-            share = np.empty(len(x))
-            for at in range(0, len(x), 20_000):
-                share[at : at + 20_000] = (a[x[at : at + 20_000]] == b[y[at : at + 20_000]]).mean(axis=1)
-            near = share >= LIKELY
-            x, y, share = x[near], y[near], share[near]
-            if best:
-                chosen = np.union1d(_best_of(of[x], share), _best_of(of_b[y], share))
-                x, y = x[chosen], y[chosen]
-            left.append(np.minimum(ids[x], ids_b[y]))
-            right.append(np.maximum(ids[x], ids_b[y]))
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.empty((2, 0), np.int64)
-        yield pa.record_batch([pa.array(pairs[0].astype(np.int64)), pa.array(pairs[1].astype(np.int64))], names=["a", "b"])
-
-
-def _rest(placed: DataFrame, label: DataFrame, signed: DataFrame, best: bool) -> DataFrame:
-    """Likely pairs in buckets whose members are in several components."""
-    known = placed.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    several = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rows = known.join(several, "bucket").select("bucket", "rep", "component")
-    rows = rows.join(signed.select(F.col("doc_id").alias("rep"), "places"), "rep")
-    rows = ranked(rows, "bucket", ["rep"], "_place").withColumn("block", F.floor(F.col("_place") / BLOCK).cast("int"))
-    blocks = materialize(rows.groupBy("bucket", "block").agg(F.collect_list(F.struct("rep", "component", "places")).alias("members")), "blocks")
-    ahead = blocks.select("bucket", F.col("block").alias("other"), F.col("members").alias("others"))
-    pairs = blocks.join(ahead, "bucket").where("block <= other").select("members", "others", (F.col("block") == F.col("other")).alias("same"))
-    return pairs.mapInArrow(functools.partial(_likely, best=best), "a long, b long").distinct()
+        for one, two in zip(batch.column("members"), batch.column("others"), strict=True):
+            one, two = one.values, two.values
+            linked = near(_arrays(one.field("elements")), _arrays(two.field("elements")))
+            a, b = forest(linked, one.field("label").to_numpy(), two.field("label").to_numpy())
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _blocked(rows: DataFrame, listed: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` (bucket, node, label, size, big) as blocks of bounded volume along ``order``: bucket,
+    big, power, turn, the ends of labels and sizes, members."""
+    placed = ranked(materialize(rows, name), "bucket", order, "_place")
+    power = F.ceil(F.log2(F.greatest("size", F.lit(1)))).cast("int")
+    most = F.least(F.greatest(F.floor(F.lit(VOLUME) / F.pow(F.lit(2.0), power)), F.lit(1)), F.lit(BLOCK))
+    cut = placed.withColumn("power", power).withColumn("turn", F.floor(F.col("_place") / most).cast("long"))
+    ends = [f(c).alias(f"{k}_{c}") for c in ("label", "size") for k, f in (("low", F.min), ("high", F.max))]
+    members = F.collect_list(F.struct("label", "elements")).alias("members")
+    return cut.join(listed, "node").groupBy("bucket", "big", "power", "turn").agg(*ends, members)
+
+
+def _mixed(placed: DataFrame, label: DataFrame) -> DataFrame:
+    """``placed`` (bucket, node, size) with labels, where a bucket's nodes have several."""
+    known = placed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    return known.join(several, "bucket").select("bucket", "node", "size", "label")
+
+
+def _blocks_apart(known: DataFrame, listed: DataFrame) -> DataFrame:
+    """Edges between classes that different blocks of a bucket hold."""
+    large = known.groupBy("bucket", "label").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("bucket", "label", F.col("label").alias("big"))
+    rows = known.join(large, ["bucket", "label"], "left")
+    blocks = _blocked(rows, listed, ["big", "size", "node"], "apart")
+    blocks = materialize(blocks.withColumn("id", F.monotonically_increasing_id()), "blocks")
+    ends = blocks.drop("members", "big", "power", "turn")
+    other = ends.select("bucket", *[F.col(c).alias(f"_{c}") for c in ends.columns if c != "bucket"])
+    differ = (F.least("low_label", "_low_label") < F.greatest("high_label", "_high_label")) & (F.col("id") <= F.col("_id"))
+    alike = (F.col("high_size") >= F.col("_low_size") * THRESHOLD) & (F.col("_high_size") >= F.col("low_size") * THRESHOLD)
+    pairs = ends.join(other, "bucket").where(differ & alike).select("id", "_id")
+    left, right = blocks.select("id", "members"), blocks.select(F.col("id").alias("_id"), F.col("members").alias("others"))
+    return pairs.join(left, "id").join(right, "_id").select("members", "others").mapInArrow(_between, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row for each doc_id with words or without: doc_id, class_id (the smallest doc_id
-    of its class), kept."""
-    base = docs.where("doc_id is not null").select("doc_id", "text")
-    signed = materialize(base.mapInArrow(_signed, "doc_id long, key1 long, key2 long, bands array<long>, places binary"), "signed")
-    members = signed.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
-    in_class = signed.select("doc_id", "key1", "key2").join(members, ["key1", "key2"]).select("doc_id", "rep")
-    # a doc_id given twice with different texts is one document: its representatives are linked
-    same = in_class.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    one = materialize(
-        signed.join(members.select(F.col("rep").alias("doc_id"), "key1", "key2"), ["doc_id", "key1", "key2"]).select("doc_id", "bands", "places").dropDuplicates(["doc_id"]), "one"
-    )
-    banded = one.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"))
-    buckets = banded.groupBy("bucket").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
-    placed = materialize(banded.join(buckets, "bucket").select("bucket", "rep", "first"), "placed")
-    texts = materialize(base.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    # the smallest companion of each document over all its buckets: one comparison each
-    pairs = placed.groupBy("rep").agg(F.min("first").alias("a")).where("a < rep").select("a", F.col("rep").alias("b"))
-    links = materialize(_links(pairs, texts), "links")
-    for turn in range(FORESTS + 1):
-        label = materialize(components(links), "labels")
-        with batches_of(docs.sparkSession, 256):
-            more = materialize(_rest(placed, label, one, best=turn < FORESTS), "pairs")
-        if more.isEmpty():
-            break
-        links = links.unionByName(materialize(_links(more, texts), "links"))
-    final = components(links.unionByName(same))
-    out = base.select("doc_id").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    class_id = F.coalesce("component", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), (class_id == F.col("doc_id")).alias("kept"))
+    """One row for each row of ``docs`` with a doc_id: doc_id, class_id (the smallest doc_id of
+    its class), kept."""
+    spark = docs.sparkSession
+    base = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    signed = base.mapInArrow(_signed, "doc_id long, text_hash long, key1 long, key2 long, size long, bands array<long>")
+    signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    worded = signed.where("key1 is not null")
+    nodes = materialize(worded.groupBy("key1", "key2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_doc")), "nodes")
+    # a doc_id given with several texts is one document: its nodes are linked
+    several = worded.groupBy("doc_id").agg(F.min("key1").alias("lo"), F.max("key1").alias("hi")).where("lo < hi").select("doc_id")
+    same = worded.join(several, "doc_id").join(nodes, ["key1", "key2"]).select("doc_id", "node")
+    same = same.join(same.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct()
+
+    one = signed.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    banded = one.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"), "size")
+    buckets = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
+    placed = materialize(banded.join(buckets, "bucket"), "placed")
+    some = signed.join(placed.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select("doc_id", "text_hash", F.col("row").alias("node"))
+    listed = base.join(some, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_listed, "node long, elements binary")
+    listed = materialize(listed.dropDuplicates(["node"]), "listed")
+
+    pairs = placed.groupBy("node").agg(F.min("first").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
+    with batches_of(spark, 256):
+        both = pairs.join(listed.toDF("b", "elements_b"), "b").join(listed.toDF("a", "elements_a"), "a")
+        links = materialize(both.select("a", "b", "elements_a", "elements_b").mapInArrow(_verified, "a long, b long"), "links")
+    # a node's smallest companion, and that one's own, stand for its class
+    up = links.select(F.col("b").alias("_a"), F.col("a").alias("_up"))
+    label = links.select(F.col("b").alias("node"), F.col("a").alias("_a")).join(up, "_a", "left").select("node", F.coalesce("_up", "_a").alias("label"))
+    placed = placed.select("bucket", "node", "size")
+    known = materialize(_mixed(placed, materialize(label, "label")), "mixed")
+    with batches_of(spark, 16):
+        blocks = materialize(_blocked(known.withColumn("big", F.lit(None).cast("long")), listed, ["size", "node"], "within"), "blocks")
+        edges = materialize(blocks.where("low_label < high_label").select("members").mapInArrow(_within, "a long, b long").distinct(), "edges")
+    every = links.unionByName(edges).unionByName(same)
+    part = materialize(components(every), "parts")
+    hot = blocks.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    label = part.select(F.col("id").alias("node"), F.col("component").alias("label"))
+    known = materialize(_mixed(known.select("bucket", "node", "size").join(hot, "bucket"), label), "hot")
+    if not known.isEmpty():
+        with batches_of(spark, 16):
+            edges = materialize(_blocks_apart(known, listed), "edges")
+        part = materialize(components(part.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(edges)), "parts")
+    release(blocks, placed, listed)
+
+    of = nodes.join(part.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of.groupBy("component").agg(F.min("first_doc").alias("class_id"))
+    of = of.join(least, "component").select("key1", "key2", "class_id")
+    found = materialize(signed.select("doc_id", "key1", "key2").join(of, ["key1", "key2"], "left").select("doc_id", "class_id"), "found")
+    # a row without words goes with its doc_id's other rows
+    other = found.groupBy("doc_id").agg(F.min("class_id").alias("_class"), F.count("*").alias("n")).where("n > 1").select("doc_id", "_class")
+    class_id = F.coalesce("_class", "class_id", "doc_id")
+    return found.join(other, "doc_id", "left").select("doc_id", class_id.alias("class_id"), (class_id == F.col("doc_id")).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:

@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citelake.llm._common import materialize, sliced
-from citelake.llm._text import TOKENS, hashes, mixed, stems, uniform
+from citelake.llm._text import mixed, tokens, uniform
 
 #: Bound of the labelled rows used.
 LABELLED = 20_000
 BITS = 17
-STEMS = 1 << 14
+STEM, STEMS = 4, 1 << 14
 BUCKETS = 2 * (1 << BITS) + 1 + STEMS
 #: Counts of raw text that the target model borrows, per bucket.
 PRIOR = 0.02
@@ -49,23 +49,19 @@ def buckets_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
     Words, pairs of words and first letters of words have ranges of their own, and so has
     a word or pair that goes on repeating itself, whatever the word."""
-    found = [TOKENS.findall(t.lower()) if t else [] for t in texts]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    known_words, known_stems = hashes(), stems()
-    tokens = np.concatenate([known_words.of(x) for x in found]) if found else np.empty(0, np.uint64)
-    stem = np.concatenate([known_stems.of(x) for x in found]) if found else tokens
+    words, stem, sizes = tokens(texts, stem=STEM)
     text = np.repeat(np.arange(len(sizes)), sizes)
     mask = np.uint64((1 << BITS) - 1)
-    single = (mixed(tokens) & mask).astype(np.int64)
+    single = (words & mask).astype(np.int64)
     has = stem != 0
     start = (stem[has] % np.uint64(STEMS)).astype(np.int64) + ((2 << BITS) + 1)
-    if len(tokens) < 2:
+    if len(words) < 2:
         return np.concatenate([single, start]), np.concatenate([text, text[has]]), sizes
-    pairs = (mixed(tokens[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:]) & mask).astype(np.int64) + (1 << BITS)
+    pairs = (mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) & mask).astype(np.int64) + (1 << BITS)
     # a word the third time in a row, or a pair the second time in a row
     again = np.zeros(len(pairs), bool)
-    again[1:] = (tokens[2:] == tokens[:-2]) & (tokens[2:] == tokens[1:-1]) & (text[2:] == text[:-2])
-    again[2:] |= (tokens[3:] == tokens[1:-2]) & (tokens[2:-1] == tokens[:-3]) & (text[3:] == text[:-3])
+    again[1:] = (words[2:] == words[:-2]) & (words[2:] == words[1:-1]) & (text[2:] == text[:-2])
+    again[2:] |= (words[3:] == words[1:-2]) & (words[2:-1] == words[:-3]) & (text[3:] == text[:-3])
     pairs[again] = 2 << BITS
     inside = text[1:] == text[:-1]
     return np.concatenate([single, pairs[inside], start]), np.concatenate([text, text[1:][inside], text[has]]), sizes

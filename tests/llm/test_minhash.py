@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from citelake.llm import minhash
 from citelake.llm.minhash import bands_of, classes, shingles, signatures, without_near_copies
 
 
@@ -57,7 +58,9 @@ def corpus():
     return rows
 
 
-def test_classes_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [256, 4])
+def test_classes_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rows = corpus()
     docs = spark.createDataFrame([(a, b, a, "x") for a, b in rows], "doc_id long, text string, class_id long, kept string")
     got = {r.doc_id: r for r in classes(docs).collect()}
@@ -96,3 +99,33 @@ def test_edges(spark, rows):
     got = classes(docs).collect()
     assert len(got) == sum(i is not None for i, _ in rows) and all(r.kept for r in got)
     assert without_near_copies(docs).count() == len(rows)
+
+
+def test_blocks_equal_single_comparisons():
+    rnd = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rnd.integers(0, 12, rnd.integers(1, 60))) for _ in range(40)]
+    texts += [t + " tail" for t in texts[:10]]
+    sets = [minhash.elements(t) for t in texts]
+    for right in (None, sets[:17]):
+        got = minhash.near(sets, right)
+        want = [[minhash.overlap(a, b) >= 0.8 for b in (right or sets)] for a in sets]
+        assert (got == np.array(want)).all()
+
+
+def test_a_document_with_several_texts_is_near_what_any_of_them_is_near(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(7, one), (7, two), (8, one + " x"), (9, two + " y"), (9, None), (10, "other words of another text")]
+    got = {(r.doc_id, r.class_id) for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 7), (8, 7), (9, 7), (10, 10)}
+
+
+def test_a_text_of_several_megabytes(spark):
+    rnd = random.Random(2)
+    long = [f"w{rnd.randrange(10**6)}" for _ in range(500_000)]
+    near, far = list(long), list(long)
+    for k in rnd.sample(range(len(long)), 5_000):
+        near[k] = "x"
+    for k in rnd.sample(range(len(long)), 50_000):
+        far[k] = "y"
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in classes(docs).collect()} == {(1, 1), (2, 1), (3, 3)}

@@ -46,7 +46,7 @@ def test_targets_are_met_and_clean_documents_stay(spark):
 
 def test_steps_equal_projected_gradient_in_one_place(spark):
     docs, labels, _ = frames(spark)
-    model = trained(docs, known_domains(docs, labels))
+    model = trained(known_domains(docs, labels))
     table = members(docs, model)
     fit = Rates(table, model, {"en": 1.0, "fr": 1.0, "toxic": 0.2})
     rows = table.collect()
@@ -85,7 +85,7 @@ def test_targets_are_met_where_rates_are_high(spark):
     for d, w in WEIGHTS.items():
         assert abs(share[d] - w) < 0.01 * w, share
     assert max(r.rate for r in got.values()) > 8
-    model = trained(docs, known_domains(docs, labels))
+    model = trained(known_domains(docs, labels))
     table = members(docs, model)
     fit = Rates(table, model, WEIGHTS)
     posterior, tokens = np.array([r.posterior for r in table.collect()]), np.array([r.tokens for r in table.collect()])
