@@ -200,7 +200,10 @@ def near(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.nd
         cells[of[a:b], place[a:b] - low] = 1
         shared += cells[:cut] @ (cells if right is None else cells[cut:]).T
     other = sizes[:cut] if right is None else sizes[cut:]
-    return shared / (sizes[:cut, None] + other[None, :] - shared.astype(np.float64)) >= THRESHOLD
+    out = shared / (sizes[:cut, None] + other[None, :] - shared.astype(np.float64)) >= THRESHOLD
+    if right is None:
+        np.fill_diagonal(out, True)
+    return out
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
