@@ -13,11 +13,11 @@ collapsed to one node first.  Then, by exact multiset overlap:
 
 1. each node is compared with the smallest one of all that share a bucket with it, so that
    copies and near copies of thousands cost one comparison each;
-2. buckets whose nodes are still in several classes are cut into blocks of bounded volume, by
-   size, and a block's nodes are compared in memory;
-3. buckets of several blocks that still hold several classes are cut into blocks anew, large
-   classes apart, and blocks are compared with blocks, but for blocks of one and the same
-   class and blocks whose sizes differ too much for the threshold.
+2. nodes of buckets that still hold several classes go, by size, into blocks of bounded volume
+   within the largest such bucket of each, and a block's nodes are compared in memory;
+3. buckets that still hold several classes and more than one block are searched whole: nodes go
+   into blocks anew, large classes apart, and each two blocks that meet in a bucket there with
+   different classes are compared once, unless their sizes differ too much for the threshold.
 
 A comparison of blocks counts common elements as a product of incidence matrices and leaves only
 edges of a spanning forest, at most one for each node of it; no pairs are emitted.
@@ -230,38 +230,49 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _blocked(rows: DataFrame, listed: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``rows`` (bucket, node, label, size, big) as blocks of bounded volume along ``order``: bucket,
-    big, power, turn, the ends of labels and sizes, members."""
-    placed = ranked(materialize(rows, name), "bucket", order, "_place")
+def _mixed(placed: DataFrame, label: DataFrame) -> DataFrame:
+    """``placed`` (bucket, node, size) with labels, where a bucket's nodes have several: n of them."""
+    known = placed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
+    return known.join(several, "bucket").select("bucket", "node", "size", "label", "n")
+
+
+def _blocked(known: DataFrame, apart: bool) -> DataFrame:
+    """The block of each node of ``known``: by its largest bucket, large classes ``apart``, size."""
+    homes = known.groupBy("node", "size", "label").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"))
+    if apart:
+        large = homes.groupBy("home", "label").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK)
+        homes = homes.join(large.select("home", "label", F.col("label").alias("big")), ["home", "label"], "left")
+    else:
+        homes = homes.withColumn("big", F.lit(None).cast("long"))
+    placed = ranked(materialize(homes, "homes"), "home", ["big", "size", "node"], "_place")
     power = F.ceil(F.log2(F.greatest("size", F.lit(1)))).cast("int")
     most = F.least(F.greatest(F.floor(F.lit(VOLUME) / F.pow(F.lit(2.0), power)), F.lit(1)), F.lit(BLOCK))
-    cut = placed.withColumn("power", power).withColumn("turn", F.floor(F.col("_place") / most).cast("long"))
-    ends = [f(c).alias(f"{k}_{c}") for c in ("label", "size") for k, f in (("low", F.min), ("high", F.max))]
-    members = F.collect_list(F.struct("label", "elements")).alias("members")
-    return cut.join(listed, "node").groupBy("bucket", "big", "power", "turn").agg(*ends, members)
+    # equal hashes of two blocks would only make one larger block
+    block = F.xxhash64("home", F.col("big").isNull(), "big", power, F.floor(F.col("_place") / most).cast("long"))
+    return materialize(placed.select("node", "size", "label", block.alias("block")), "homes")
 
 
-def _mixed(placed: DataFrame, label: DataFrame) -> DataFrame:
-    """``placed`` (bucket, node, size) with labels, where a bucket's nodes have several."""
-    known = placed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    return known.join(several, "bucket").select("bucket", "node", "size", "label")
+def _filled(homes: DataFrame, listed: DataFrame) -> DataFrame:
+    """The blocks with their members' elements."""
+    members = F.collect_list(F.struct("label", "elements")).alias("members")
+    return homes.join(listed, "node").groupBy("block").agg(members, F.min("label").alias("low"), F.max("label").alias("high"))
 
 
-def _blocks_apart(known: DataFrame, listed: DataFrame) -> DataFrame:
-    """Edges between classes that different blocks of a bucket hold."""
-    large = known.groupBy("bucket", "label").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("bucket", "label", F.col("label").alias("big"))
-    rows = known.join(large, ["bucket", "label"], "left")
-    blocks = _blocked(rows, listed, ["big", "size", "node"], "apart")
-    blocks = materialize(blocks.withColumn("id", F.monotonically_increasing_id()), "blocks")
-    ends = blocks.drop("members", "big", "power", "turn")
-    other = ends.select("bucket", *[F.col(c).alias(f"_{c}") for c in ends.columns if c != "bucket"])
-    differ = (F.least("low_label", "_low_label") < F.greatest("high_label", "_high_label")) & (F.col("id") <= F.col("_id"))
-    alike = (F.col("high_size") >= F.col("_low_size") * THRESHOLD) & (F.col("_high_size") >= F.col("low_size") * THRESHOLD)
-    pairs = ends.join(other, "bucket").where(differ & alike).select("id", "_id")
-    left, right = blocks.select("id", "members"), blocks.select(F.col("id").alias("_id"), F.col("members").alias("others"))
-    return pairs.join(left, "id").join(right, "_id").select("members", "others").mapInArrow(_between, "a long, b long").distinct()
+def _met(known: DataFrame, homes: DataFrame) -> DataFrame:
+    """Blocks that meet in a bucket with different classes: block, other."""
+    counts = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("bucket").agg(F.max_by("label", "n").alias("main"))
+    rows = known.select("bucket", "node", "label", "size").join(homes.select("node", "block"), "node")
+    ends = rows.groupBy("bucket", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"))
+    ends = materialize(ends, "ends")
+    # two blocks of nothing but the main class need no comparison: one of the two isn't such
+    left = ends.join(main, "bucket").where((F.col("low") != F.col("main")) | (F.col("high") != F.col("main"))).drop("main")
+    right = ends.select("bucket", *[F.col(c).alias(f"_{c}") for c in ends.columns if c != "bucket"])
+    differ = F.least("low", "_low") < F.greatest("high", "_high")
+    alike = (F.col("most") >= F.col("_least") * THRESHOLD) & (F.col("_most") >= F.col("least") * THRESHOLD)
+    pairs = left.join(right, "bucket").where(differ & alike)
+    return pairs.select(F.least("block", "_block").alias("block"), F.greatest("block", "_block").alias("other")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -295,19 +306,25 @@ def classes(docs: DataFrame) -> DataFrame:
     label = links.select(F.col("b").alias("node"), F.col("a").alias("_a")).join(up, "_a", "left").select("node", F.coalesce("_up", "_a").alias("label"))
     placed = placed.select("bucket", "node", "size")
     known = materialize(_mixed(placed, materialize(label, "label")), "mixed")
+    homes = _blocked(known, apart=False)
     with batches_of(spark, 16):
-        blocks = materialize(_blocked(known.withColumn("big", F.lit(None).cast("long")), listed, ["size", "node"], "within"), "blocks")
-        edges = materialize(blocks.where("low_label < high_label").select("members").mapInArrow(_within, "a long, b long").distinct(), "edges")
+        found = _filled(homes, listed).where("low < high").select("members").mapInArrow(_within, "a long, b long")
+        edges = materialize(found.distinct(), "edges")
     every = links.unionByName(edges).unionByName(same)
     part = materialize(components(every), "parts")
-    hot = blocks.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     label = part.select(F.col("id").alias("node"), F.col("component").alias("label"))
-    known = materialize(_mixed(known.select("bucket", "node", "size").join(hot, "bucket"), label), "hot")
+    several = known.join(homes.select("node", "block"), "node").groupBy("bucket").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi")
+    known = materialize(_mixed(known.select("bucket", "node", "size").join(several.select("bucket"), "bucket"), label), "mixed")
     if not known.isEmpty():
+        homes = _blocked(known, apart=True)
+        pairs = materialize(_met(known, homes), "pairs")
         with batches_of(spark, 16):
-            edges = materialize(_blocks_apart(known, listed), "edges")
+            blocks = materialize(_filled(homes, listed).select("block", "members"), "blocks")
+            both = pairs.join(blocks, "block").join(blocks.toDF("other", "others"), "other").select("members", "others")
+            edges = materialize(both.mapInArrow(_between, "a long, b long").distinct(), "edges")
+        release(blocks)
         part = materialize(components(part.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(edges)), "parts")
-    release(blocks, placed, listed)
+    release(placed, listed)
 
     of = nodes.join(part.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("first_doc").alias("class_id"))
