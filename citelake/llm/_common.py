@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows with whole texts that Python is given at once.
+TEXTS = 1000
+
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm._common import batches_of, materialize, ranked, release, sliced
+from citelake.llm._common import TEXTS, batches_of, materialize, ranked, release, sliced
 from citelake.llm._graph import components, forest
 from citelake.llm._text import mixed, tokens, uniform
 
@@ -281,7 +281,8 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     signed = base.mapInArrow(_signed, "doc_id long, text_hash long, key1 long, key2 long, size long, bands array<long>")
-    signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    with batches_of(spark, TEXTS):
+        signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     worded = signed.where("key1 is not null")
     nodes = materialize(worded.groupBy("key1", "key2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_doc")), "nodes")
     # a doc_id given with several texts is one document: its nodes are linked
@@ -295,7 +296,8 @@ def classes(docs: DataFrame) -> DataFrame:
     placed = materialize(banded.join(buckets, "bucket"), "placed")
     some = signed.join(placed.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select("doc_id", "text_hash", F.col("row").alias("node"))
     listed = base.join(some, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_listed, "node long, elements binary")
-    listed = materialize(listed.dropDuplicates(["node"]), "listed")
+    with batches_of(spark, TEXTS):
+        listed = materialize(listed.dropDuplicates(["node"]), "listed")
 
     pairs = placed.groupBy("node").agg(F.min("first").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
     with batches_of(spark, 256):
