@@ -2,16 +2,16 @@
 
 Two generative models over hashed n-grams, of target text (labelled rows of good quality
 that are not toxic) and of raw text (all documents), give each document an importance
-weight, the ratio of its probabilities.  Gumbel noise from the doc_id on the log weights
-and the k largest sums make a draw without replacement.
+weight: the mean log ratio of its n-grams' probabilities, so that it doesn't hang on the
+length.  Gumbel noise from the doc_id on the weights, and the k largest sums, make a draw
+without replacement.
 
 The models count every document.  Only which rows are known as target or as reject comes
-from a bounded sample of the labels (``LABELLED`` rows, by hash).  A bucket's ratio counts
-where the labelled target lacks it, beyond chance, against the labelled rest; elsewhere it
-is noise, or a passage copied often among the unlabelled.  Ratios above one are truncated
-to one, so that no passage frequent in good text makes up for an insult.  ``k`` is
-the number of documents at or above the log weight that best parts labelled target from
-labelled rest.
+from a bounded sample of the labels (``LABELLED`` rows, by hash).  A bucket's log ratio, positive
+or negative, counts where the labelled target and the labelled rest differ beyond chance
+in the same direction; elsewhere it is noise, or a passage copied often among the unlabelled,
+and counts as zero.  ``k`` is the number of documents at or above the weight that best parts
+labelled target from labelled rest.
 
 Defined results: documents without a token (null, empty, white space) have a null weight
 and are rejected; rows with equal doc_id and text are treated alike; ties with the k-th are
@@ -37,10 +37,10 @@ BITS = 17
 STEM, STEMS = 4, 1 << 14
 BUCKETS = 2 * (1 << BITS) + 1 + STEMS
 #: Counts of raw text that the target model borrows, per bucket.
-PRIOR = 0.02
+PRIOR = 0.3
 #: Standard errors beyond which a bucket's difference between the labelled counts.
-SIGNIFICANT = 4.0
-TEMPERATURE = 0.1
+SIGNIFICANT = 5.0
+TEMPERATURE = 0.001
 
 
 def buckets_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,12 +131,13 @@ def ratios(counts: DataFrame, targets: int, rejects: int) -> np.ndarray:
     both = (in_target + in_reject) / (targets + rejects)
     error = np.sqrt(np.maximum(both, 1e-300) * (1 / targets + 1 / rejects))
     z = (in_target / targets - in_reject / rejects) / error
-    return np.where((z <= -SIGNIFICANT) & (ratio < 0), ratio, 0.0)
+    return np.where((np.abs(z) >= SIGNIFICANT) & (z * ratio > 0), ratio, 0.0)
 
 
 def _weights(batch: pa.RecordBatch, model: np.ndarray) -> np.ndarray:
     bucket, text, sizes = buckets_of(batch.column("text").to_pylist())
-    weight = np.bincount(text, model[bucket], minlength=len(sizes)).astype(float)
+    n = np.bincount(text, minlength=len(sizes))
+    weight = np.bincount(text, model[bucket], minlength=len(sizes)) / np.maximum(n, 1)
     weight[sizes == 0] = np.nan
     return weight
 

@@ -1,8 +1,10 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
-from citelake.llm.quality import Draw, accepted, buckets_of, kth_largest, scored
+from citelake.llm.quality import BITS, PRIOR, SIGNIFICANT, STEMS, Draw, accepted, buckets_of, kth_largest, scored
 
 
 def corpus(n=1500):
@@ -37,12 +39,48 @@ def test_toxic_documents_go_and_others_stay(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.selected}
 
 
-def test_weight_is_the_ratio_of_the_models(spark):
-    rows, labels = corpus(400)
+def test_weights_and_draw_equal_brute_force(spark):
+    rows, labels = corpus(900)
+    good = {i: q == 1 and not t for i, q, t in labels}
+    grams = {i: buckets_of([t])[0].tolist() for i, t, _ in rows}
+    kind = lambda b: 0 if b < 1 << BITS else 1 if b <= 2 << BITS else 2
+    raw, target, held = Counter(), Counter(), {True: Counter(), False: Counter()}
+    for i, found in grams.items():
+        raw.update(found)
+        if i in good:
+            held[good[i]].update(set(found))
+            if good[i]:
+                target.update(found)
+    widths = (1 << BITS, (1 << BITS) + 1, STEMS)
+    n = {g: sum(x == g for x in good.values()) for g in (True, False)}
+    total = [[sum(c for b, c in of.items() if kind(b) == k) for k in range(3)] for of in (raw, target)]
+
+    def ratio(b):
+        k = kind(b)
+        p_raw, prior = raw[b] / total[0][k], PRIOR * widths[k]
+        value = math.log((target[b] + prior * p_raw) / (total[1][k] + prior) / p_raw)
+        pooled = (held[True][b] + held[False][b]) / (n[True] + n[False])
+        if not pooled:
+            return 0.0
+        z = (held[True][b] / n[True] - held[False][b] / n[False]) / math.sqrt(pooled * (1 / n[True] + 1 / n[False]))
+        return value if abs(z) >= SIGNIFICANT and z * value > 0 else 0.0
+
+    want = {i: sum(map(ratio, found)) / len(found) for i, found in grams.items()}
     draw = Draw(spark.createDataFrame(rows, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    for r in draw.table.collect():
-        bucket, _, _ = buckets_of([rows[r.doc_id][1]])
-        assert abs(r.log_weight - draw.model.value[bucket].sum()) < 1e-9
+    got = {r.doc_id: r for r in draw.table.collect()}
+    assert max(abs(got[i].log_weight - w) for i, w in want.items()) < 1e-9
+    # Gumbel top-k: exactly the k largest noisy weights
+    order = sorted(got, key=lambda i: -got[i].noisy)
+    picked = {r.doc_id for r in draw.table.where(draw.selected()).collect()}
+    assert picked == set(order[: draw.k])
+
+
+def test_a_text_of_several_megabytes_and_clashing_columns(spark):
+    rows, labels = corpus(600)
+    docs = spark.createDataFrame([*rows, (7000, "w1 w2 w3 w4 " * 400_000, "s")], "doc_id long, text string, log_weight string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert scored(docs, lab).count() == len(rows) + 1
+    assert accepted(docs, lab).columns == docs.columns
 
 
 def test_kth_largest(spark):
