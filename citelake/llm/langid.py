@@ -34,12 +34,30 @@ SMOOTH = 0.5
 #: A word's score is divided by its n-grams' overlap, which naive Bayes ignores.
 WEIGHT = 0.5
 UND = "und"
-WORDS = re.compile(r"[^\W\d_]+")
+#: ``\w`` also takes number signs such as one half, which are no letters.
+_RUNS = re.compile(r"[^\W\d_]+")
 #: First code points of ranges of letters that belong to one script.
 SCRIPTS = np.array([0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0xAC00, 0xD7B0])
 _MASK = np.uint64(BUCKETS - 1)
 
 
+def words_of(text: str) -> list[tuple[int, int]]:
+    """Start and end of each run of letters."""
+    out = []
+    for m in _RUNS.finditer(text):
+        low, high = m.span()
+        if m[0].isalpha():
+            out.append((low, high))
+            continue
+        start = low
+        for i in range(low, high + 1):
+            if i == high or not text[i].isalpha():
+                if i > start:
+                    out.append((start, i))
+                start = i + 1
+    return out
+
+
 def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the n-grams (1 to 4 letters, with word ends) of all words, the first
     place of each word's, and each word's script."""
@@ -95,7 +113,7 @@ def learnt(docs: DataFrame, bound: int = TRAINING) -> Model:
     """The model of at most ``bound`` rows of ``docs`` (text, lang)."""
     spark = docs.sparkSession
     rows = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text", "lang").alias("_h"))
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(1000).collect())
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     total = rows.count()
     if total > bound:
         # hashes are uniform: this keeps about ``bound`` rows, spread evenly, without a sort
@@ -109,7 +127,7 @@ def learnt(docs: DataFrame, bound: int = TRAINING) -> Model:
         for whole in batches:
             for batch in sliced(whole, "text"):
                 for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                    words = WORDS.findall(text.lower())
+                    words = [text[a:b].lower() for a, b in words_of(text)]
                     if words:
                         bucket, _, script = ngrams(words)
                         counts[number[lang], :BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
@@ -186,8 +204,8 @@ def labelled(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for whole in batches:
             for batch in sliced(whole, text, 1_000_000):
                 texts = [t or "" for t in batch.column(text).to_pylist()]
-                found = [list(WORDS.finditer(t)) for t in texts] if m.langs else [[] for _ in texts]
-                words = [[x[0].lower() for x in f] for f in found]
+                found = [words_of(t) for t in texts] if m.langs else [[] for _ in texts]
+                words = [[t[a:b].lower() for a, b in f] for t, f in zip(texts, found, strict=True)]
                 unique = list({w for ws in words for w in ws})
                 place = {w: i for i, w in enumerate(unique)}
                 scores = m.words(unique) if unique else np.zeros((0, max(1, len(m.langs))), np.float32)
@@ -197,12 +215,12 @@ def labelled(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     if not f:
                         pred.append(UND), share.append(0.0), spans.append([])
                         continue
-                    letters = np.bincount(path, [x.end() - x.start() for x in f], minlength=len(m.langs))
+                    letters = np.bincount(path, [b - a for a, b in f], minlength=len(m.langs))
                     k = int(letters.argmax())
                     pred.append(m.langs[k])
                     share.append(float(letters[k] / letters.sum()))
                     edges = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
-                    spans.append([{"start": f[a].start(), "end": f[b - 1].end(), "lang": m.langs[path[a]]} for a, b in zip(edges[:-1], edges[1:], strict=True)])
+                    spans.append([{"start": f[a][0], "end": f[b - 1][1], "lang": m.langs[path[a]]} for a, b in zip(edges[:-1], edges[1:], strict=True)])
                 columns = [batch.column(c) for c in keep] + [pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(spans, _SPAN_TYPE)]
                 yield pa.record_batch(columns, names=[*keep, "lang_pred", "score", "spans"])
 

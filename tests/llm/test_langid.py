@@ -55,3 +55,10 @@ def test_nothing_to_learn(spark):
     got = predicted(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
     assert predicted(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_number_signs_are_no_letters(spark):
+    rows = [(1, "the house of the rising sun", "en"), (2, "la maison du soleil", "fr"), (3, "½ ²³ 12", None), (4, "½the", None), (5, None, None), (6, "", None)]
+    got = {r.doc_id: r for r in predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [(got[i].lang_pred, got[i].score, got[i].spans) for i in (3, 5, 6)] == [("und", 0.0, "")] * 3
+    assert got[4].lang_pred != "und" and got[4].spans.startswith("1:4:")
