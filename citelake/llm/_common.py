@@ -46,7 +46,9 @@ def _local_dir() -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the
-    lineage, survives lost executors, and is computed once."""
+    lineage, survives lost executors, and is computed once.  A table so written stays as it is."""
+    if getattr(df, "_work_path", None):
+        return df
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
@@ -92,6 +94,13 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` for Python stages on whole texts: few texts in an Arrow batch, so that
+    neither the executor's direct memory nor the worker's grows with long ones."""
+    with batches_of(df.sparkSession, TEXTS):
+        return materialize(df, name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm._common import materialize, sliced
+from citelake.llm._common import sliced, written
 from citelake.llm._text import mixed, tokens, uniform
 
 LABELLED = 10_000
@@ -101,7 +101,8 @@ def trained(known: DataFrame) -> Classifier | None:
                     yield pa.record_batch([pa.array([str(d)] * len(n)), pa.array(np.append(here, -1).astype(np.int32)), pa.array(n)], names=["domain", "bucket", "n"])
 
     # never more rows than domains times buckets
-    table = known.select("text", "domain").mapInArrow(run, "domain string, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = known.select("text", "domain").mapInArrow(run, "domain string, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n"))
+    table = written(counted, "counts").toArrow()
     domains, domain = np.unique(np.array(table.column("domain").to_pylist(), dtype=object).astype(str), return_inverse=True)
     if not len(domains):
         return None
@@ -123,7 +124,7 @@ def members(docs: DataFrame, model: Classifier) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
                 yield pa.record_batch([batch.column("doc_id"), pa.array(sizes), flat], names=["doc_id", "tokens", "posterior"])
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens long, posterior array<double>"), "members")
+    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens long, posterior array<double>"), "members")
 
 
 def rate_of(share: np.ndarray, steps: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -260,4 +261,4 @@ def resampled(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | No
                 copies = copies_of(batch.column("doc_id").to_pylist(), rate)
                 yield batch.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return written(docs.mapInArrow(run, T.StructType(docs.schema.fields)), "resampled")

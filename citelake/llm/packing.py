@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm._common import materialize, ranked, sliced
+from citelake.llm._common import ranked, sliced, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -266,7 +266,7 @@ def placed(plan_: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:
 def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = materialize(tokenized(docs, tokenizer_path, capacity), "pieces")
+    pieces = written(tokenized(docs, tokenizer_path, capacity), "pieces")
     # at most ``capacity`` rows, whatever the corpus
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = placed(plan(histogram, capacity, rounds))

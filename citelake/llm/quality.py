@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm._common import materialize, sliced
+from citelake.llm._common import sliced, written
 from citelake.llm._text import mixed, tokens, uniform
 
 #: Bound of the labelled rows used.
@@ -189,7 +189,7 @@ class Draw:
         found = known(docs, labels, bound)
         marks = spark.sparkContext.broadcast(found)
         good = sum(found.values())
-        self.model = spark.sparkContext.broadcast(ratios(counted(docs, marks), good, len(found) - good))
+        self.model = spark.sparkContext.broadcast(ratios(written(counted(docs, marks), "counts"), good, len(found) - good))
         model = self.model
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ class Draw:
                     columns = [batch.column("doc_id"), pa.array(weight, from_pandas=True), pa.array(_noisy(ids, weight, temperature), from_pandas=True), pa.array([marks.value.get(i) for i in ids], pa.bool_())]
                     yield pa.record_batch(columns, names=["doc_id", "log_weight", "noisy", "good"])
 
-        self.table = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double, noisy double, good boolean"), "weights")
+        self.table = written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double, noisy double, good boolean"), "weights")
         sample = self.table.where("good is not null and log_weight is not null").select("log_weight", "good").toArrow()
         weight, good = sample.column("log_weight").to_numpy(), sample.column("good").to_numpy()
         self.cut = _cut(weight[good], weight[~good])
@@ -229,4 +229,4 @@ def accepted(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATUR
                 noisy = _noisy(batch.column("doc_id").to_pylist(), _weights(batch, model.value), temperature)
                 yield batch.filter(pa.array(noisy >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return written(docs.mapInArrow(run, docs.schema), "accepted")
