@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes that a task's Parquet writer holds at once.
+ROW_GROUP = 16 << 20
 #: Rows with whole texts that Python is given at once.
 TEXTS = 1000
 
@@ -51,7 +53,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         return df
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
@@ -154,7 +156,9 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str = "rank") -> D
         offsets.append((r["_rank_part"], running))
         running = (running if r["runs"] == 0 else 0) + r["last_n"] + 1
         before = r["last"]
-    table = spark.createDataFrame(offsets, "_rank_part int, _rank_before long")
+    columns = list(zip(*offsets, strict=True)) or [(), ()]
+    # an Arrow table stays in the JVM, a list of rows would start Python workers
+    table = spark.createDataFrame(pa.table({"_rank_part": pa.array(columns[0], pa.int32()), "_rank_before": pa.array(columns[1], pa.int64())}))
     joined = laid.join(F.broadcast(table), "_rank_part")
     rank = F.col(name) + F.when(F.col("_rank_run") == 0, F.col("_rank_before")).otherwise(0)
     return joined.select(*df.columns, rank.alias(name))
