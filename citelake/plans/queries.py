@@ -255,13 +255,13 @@ def j14_only_sibling(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT p_partkey AS title_id, list_distinct(string_split(lower(p_type || ' ' || p_name || ' size' || p_size), ' ')) AS w FROM part),
-       a AS (SELECT p_partkey AS name_id, list_distinct(string_split(lower(p_type || ' size' || p_size), ' ')) AS w FROM part WHERE p_partkey % 20 = 0),
+       a AS (SELECT p_partkey AS name_id, list_distinct(string_split(lower(p_type || ' size' || p_size), ' ')) AS w FROM part),
        m AS (SELECT name_id, title_id, len(b.w) - len(a.w) AS extra FROM a JOIN b ON list_has_all(b.w, a.w)),
        k AS (SELECT *, rank() OVER (PARTITION BY name_id ORDER BY extra) AS r FROM m)
        SELECT name_id, min(title_id) AS title_id, CAST(min(extra) AS INTEGER) AS extra_words FROM k WHERE r = 1 GROUP BY name_id HAVING count(*) = 1""")
 def j15_named_case(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("size", F.concat(F.lit("size"), "p_size"))
-    names = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("name_id"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_type", "size")), " ")).alias("words"))
+    names = part.select(F.col("p_partkey").alias("name_id"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_type", "size")), " ")).alias("words"))
     titles = part.select(F.col("p_partkey").alias("title_id"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_type", "p_name", "size")), " ")).alias("words"))
     return joins.by_words(names, titles, "name_id", "title_id")
 
@@ -336,9 +336,9 @@ def g10_kappa(spark, sf_dir):
     return out.select(F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
 
 
-@query("SELECT p_brand AS prefix, min(p_size) AS p_size FROM part WHERE p_partkey % 40 = 1 GROUP BY p_brand HAVING count(DISTINCT p_size) = 1")
+@query("SELECT p_brand || ' ' || p_type AS prefix, min(p_size) AS p_size FROM part GROUP BY p_brand || ' ' || p_type HAVING count(DISTINCT p_size) = 1")
 def g11_only_of_group(spark, sf_dir):
-    return aggregates.only_of_group(table(spark, sf_dir, "part").where("p_partkey % 40 = 1"), F.col("p_brand"), "prefix", "p_size")
+    return aggregates.only_of_group(table(spark, sf_dir, "part"), F.concat_ws(" ", "p_brand", "p_type"), "prefix", "p_size")
 
 
 # windows, orders, samples
