@@ -63,8 +63,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def release(*frames: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more."""
     for df in frames:
-        path = getattr(df, "_work_path", None)
-        if path:
+        for path in {getattr(x, "_work_path", None) for x in (df, getattr(df, "_laid", df))} - {None}:
             _delete(df.sparkSession, path)
 
 
@@ -161,7 +160,9 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str = "rank") -> D
     table = spark.createDataFrame(pa.table({"_rank_part": pa.array(columns[0], pa.int32()), "_rank_before": pa.array(columns[1], pa.int64())}))
     joined = laid.join(F.broadcast(table), "_rank_part")
     rank = F.col(name) + F.when(F.col("_rank_run") == 0, F.col("_rank_before")).otherwise(0)
-    return joined.select(*df.columns, rank.alias(name))
+    out = joined.select(*df.columns, rank.alias(name))
+    out._laid = laid
+    return out
 
 
 def sliced(batch: pa.RecordBatch, column: str, chars: int = 500_000) -> Iterator[pa.RecordBatch]:

@@ -5,16 +5,19 @@ and shifts orders them along a Hilbert curve.  The order is range-partitioned an
 into blocks of neighbouring keys; a query is compared with the blocks around its own on
 every curve, and the finds are merged and reranked by exact inner products in double precision.
 
-Recall is measured against brute force on a bounded sample of the queries (``AUDIT``).
-Where vectors have no structure that eight projected numbers can hold, as with random
-directions, windows of any fixed width miss most neighbours: if the measured recall stays
-below ``RECALL``, the queries go on to all other blocks of the first curve, block against
-block, which is exact.  That choice follows the measured recall alone, not the size.
+Equal vectors are one, with its ``k`` + 1 smallest ids; a list of vectors is made for each that a
+query has, and expanded to ids at last.  So ties of any number of copies go to the smallest ids.
+
+Recall is measured against brute force on a bounded sample of the queries (``AUDIT``), and
+curves are added, ``CURVES`` at a time and merged into what is found, until it is ``RECALL`` or
+more.  Only where ``MOST_CURVES`` don't suffice do the queries go on to all blocks of a curve,
+block against block, which is exact.  What is done follows the measured recall alone.
 
 Defined results: vectors that are null, empty, zero, of a length other than the first by
 vec_id, or that hold null or non-finite components take no part; ties go to the smaller
-vec_id; rows with the same vec_id each count, a query excludes its own id; null vec_ids take
-no part; fewer candidates than asked are all returned; other columns are ignored.
+vec_id; rows with the same vec_id and vector are one row given twice; of rows with the same vec_id
+and other vectors each counts as a candidate, and as queries they have one list; a query
+excludes its own id; null vec_ids take no part; products that overflow take no part; fewer candidates than asked are all returned; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from citelake.llm._common import batches_of, materialize, ranked, release, shuffle_partitions
 
-CURVES = 4
+CURVES, MOST_CURVES = 4, 32
 DIMS, BITS = 8, 7
 BLOCK = 1024
 QUERIES = 512
@@ -38,7 +41,7 @@ SLICE = 64
 #: Pairs whose scores are summed at once.
 PAIRS = 50_000
 AUDIT = 128
-RECALL = 0.95
+RECALL = 0.93
 NEAREST = 20
 SEED = 20240601
 
@@ -79,7 +82,7 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def projections(width: int, curves: int = CURVES, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
+def projections(width: int, curves: int = MOST_CURVES, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
     """Random orthogonal projections (curves x width x dims) and shifts (curves x dims)."""
     rnd = np.random.default_rng(SEED)
     out = [np.linalg.qr(rnd.normal(size=(width, width)))[0][:, :dims] for _ in range(curves)]
@@ -92,12 +95,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _top(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) of each query's k best in a block, itself excluded.
+    """(query, candidate, score) of each query's k best in a block, itself among them.
 
     A matrix product rounds by its shape, so that equal vectors may differ in the last
     bits; it only chooses, with a margin, whose scores are then summed one by one."""
     scores = queries @ vectors.T
-    scores[query_ids[:, None] == ids[None, :]] = -np.inf
     m = min(k, len(ids))
     edge = np.partition(scores, len(ids) - m, axis=1)[:, len(ids) - m]
     margin = 1e-12 * np.linalg.norm(queries, axis=1) * np.linalg.norm(vectors, axis=1).max()
@@ -165,62 +167,120 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("query_id").agg(best.alias("_best"))
 
 
-def neighbours(table: DataFrame, k: int = NEAREST, every: int = 20, radius: int = 1) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of every row whose id ``every`` divides."""
-    spark = table.sparkSession
-    good = table.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", "embedding")
-    first = good.orderBy("vec_id").select(F.size("embedding")).first()
-    width = first[0] if first else 1
-    matrices, shifts = projections(width)
+def _ordered(good: DataFrame, width: int, curves: range) -> DataFrame:
+    """curve, block, vec_id, bytes: each row in its block on each of the ``curves``."""
+    matrices, shifts = (x[curves.start : curves.stop] for x in projections(width))
+    first = curves.start
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("embedding"), width)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             raw = [v.tobytes() for v in x]
-            for c in range(CURVES):
+            for c, (matrix, shift) in enumerate(zip(matrices, shifts, strict=True)):
                 # projections of unit vectors lie within a few standard deviations of 0
-                place = np.tanh(unit @ matrices[c] * np.sqrt(width) / 2) / 2 + 0.5
-                cells = np.minimum(((place + shifts[c]) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-                yield pa.record_batch([batch.column("vec_id"), pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert(cells, BITS)), pa.array(raw, pa.binary())], names=["vec_id", "curve", "key", "bytes"])
+                place = np.tanh(unit @ matrix * np.sqrt(width) / 2) / 2 + 0.5
+                cells = np.minimum(((place + shift) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
+                yield pa.record_batch([batch.column("vec_id"), batch.column("asked"), pa.array(np.full(len(x), first + c, np.int32)), pa.array(hilbert(cells, BITS)), pa.array(raw, pa.binary())], names=["vec_id", "asked", "curve", "key", "bytes"])
 
-    keyed = good.where(F.size("embedding") == width).mapInArrow(key, "vec_id long, curve int, key long, bytes binary")
+    keyed = good.select("vec_id", "asked", "embedding").mapInArrow(key, "vec_id long, asked boolean, curve int, key long, bytes binary")
     order = ranked(keyed, "curve", ["key", "vec_id"], "_place")
-    order = materialize(order.select("curve", F.floor(F.col("_place") / BLOCK).cast("int").alias("block"), "vec_id", "bytes"), "curves")
-    query = F.col("vec_id") % every == 0
+    out = materialize(order.select("curve", F.floor(F.col("_place") / BLOCK).cast("int").alias("block"), "vec_id", "asked", "bytes"), "curves")
+    release(order)
+    return out
+
+
+def _near(order: DataFrame, width: int, k: int, radius: int) -> DataFrame:
+    """Finds in the blocks around each query's own."""
     blocks = _packed(order, ["curve", "block"], "ids", "vectors")
-    near = order.where(query).withColumn("block", F.explode(F.array(*[F.col("block") + d for d in range(-radius, radius + 1)])))
+    near = order.where("asked").withColumn("block", F.explode(F.array(*[F.col("block") + d for d in range(-radius, radius + 1)])))
     asked = _packed(near, ["curve", "block"], "query_ids", "queries")
-    with batches_of(spark, 16):
-        found = materialize(_merged(_searched(blocks.join(asked, ["curve", "block"]), width, k), k), "found")
+    return _searched(blocks.join(asked, ["curve", "block"]), width, k)
+
+
+def _finds(lists: DataFrame) -> DataFrame:
+    found = lists.select("query_id", F.explode("_best").alias("b"))
+    return found.select("query_id", F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
-    # the audit: a bounded sample of queries against all rows, a few per task
-    queries = order.where(query & (F.col("curve") == 0))
-    sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDIT).select("vec_id", "bytes").collect()
-    if sample:
-        ids = np.array([r["vec_id"] for r in sample])
-        shared = spark.sparkContext.broadcast((ids, np.frombuffer(b"".join(bytes(r["bytes"]) for r in sample), np.float64).reshape(-1, width)))
 
-        def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exact_sample(good: DataFrame, width: int, k: int) -> DataFrame:
+    """The true lists of a bounded sample of the queries: query_id, _exact."""
+    spark = good.sparkSession
+    sample = good.where("asked").orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDIT).collect()
+    ids = np.array([r["vec_id"] for r in sample], np.int64)
+    shared = spark.sparkContext.broadcast((ids, np.array([r["embedding"] for r in sample], np.float64).reshape(-1, width)))
+
+    def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(shared.value[0]):
             for batch in batches:
-                rows = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.float64).reshape(-1, width)
-                yield _batch(_top(batch.column("vec_id").to_numpy(), rows, *shared.value, k))
-
-        exact = _merged(order.where("curve = 0").select("vec_id", "bytes").mapInArrow(audit, FOUND), k).select("query_id", F.col("_best").alias("_exact"))
-        hit = found.join(F.broadcast(exact), "query_id").select(F.size(F.array_intersect("_best.vec_id", "_exact.vec_id")).alias("hit"), F.size("_exact").alias("all"))
-        counts = hit.agg(F.sum("hit"), F.sum("all")).first()
-        recall = (counts[0] or 0) / max(1, counts[1] or 0)
-        if recall < RECALL:
-            release(found)
-            found = _all_blocks(order.where("curve = 0"), query, width, k)
-    best = found.select("query_id", F.posexplode("_best").alias("_rank", "b"))
-    return best.select("query_id", (F.col("_rank") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+                yield _batch(_top(batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"), width), *shared.value, k))
+
+    return materialize(_merged(good.select("vec_id", "embedding").mapInArrow(audit, FOUND), k).select("query_id", F.col("_best").alias("_exact")), "audit")
+
 
+def _recall(lists: DataFrame, exact: DataFrame) -> float:
+    """The share of the sample's true neighbours that the lists hold."""
+    # as many rows as the sample has, at most
+    hit = F.broadcast(exact).join(lists, "query_id", "left").select(F.size(F.array_intersect(F.coalesce("_best.vec_id", F.array().cast("array<bigint>")), "_exact.vec_id")).alias("hit"), F.size("_exact").alias("all"))
+    counts = hit.agg(F.sum("hit"), F.sum("all")).first()
+    return counts[0] / counts[1] if counts[1] else 1.0
 
-def _all_blocks(rows: DataFrame, query: Column, width: int, k: int) -> DataFrame:
+
+def neighbours(table: DataFrame, k: int = NEAREST, every: int = 20, radius: int = 1) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of every row whose id ``every`` divides."""
+    spark = table.sparkSession
+    good = table.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", "embedding")
+    first = good.orderBy("vec_id").select(F.size("embedding")).first()
+    width = first[0] if first else 1
+    text = F.md5(F.concat_ws(",", F.transform("embedding", lambda x: x.cast("double").cast("string"))))
+    good = materialize(good.where(F.size("embedding") == width).select("vec_id", text.alias("key"), "embedding"), "good")
+    ids = materialize(ranked(good.select("key", "vec_id").distinct(), "key", ["vec_id"], "_copy"), "ids")
+    query = F.col("vec_id") % every == 0
+    asked = ids.groupBy("key").agg(F.max(query).alias("asked"))
+    few = ids.where(F.col("_copy") <= k).groupBy("key").agg(F.array_sort(F.collect_list("vec_id")).alias("copies"))
+    # vectors are numbered by their smallest ids, so that ties of scores go by these
+    one = ids.where("_copy = 0").join(asked, "key").withColumn("_all", F.lit(0))
+    one = ranked(one, "_all", ["vec_id", "key"], "number").select("key", F.col("vec_id").alias("_id"), "asked", "number")
+    first = good.withColumnRenamed("vec_id", "_id").dropDuplicates(["key", "_id"]).join(one, ["key", "_id"])
+    numbered = materialize(first.select(F.col("number").alias("vec_id"), "asked", "key", "embedding").join(few, "key"), "numbered")
+    good, members, wanted = numbered, numbered.select("vec_id", "key", "copies"), k
+    k = wanted + 1
+    exact = _exact_sample(good, width, k)
+    found = order = None
+    for start in range(0, MOST_CURVES, CURVES):
+        if order is not None:
+            release(order)
+        order = _ordered(good, width, range(start, start + CURVES))
+        with batches_of(spark, 16):
+            finds = _near(order, width, k, radius)
+            more = materialize(_merged(finds if found is None else finds.unionByName(_finds(found)), k), "found")
+        if found is not None:
+            release(found)
+        found = more
+        if (recall := _recall(found, exact)) >= RECALL:
+            break
+    else:
+        release(found)
+        found = _all_blocks(order.where(F.col("curve") == start), width, k)
+    # vectors to ids: few of each, so a query has wanted + 1 times as many at most
+    each = found.select("query_id", F.explode("_best").alias("b")).select(F.col("query_id").alias("_query"), F.col("b.vec_id").alias("vec_id"), F.col("b.s").alias("s"))
+    entries = F.transform("copies", lambda i: F.struct(F.col("s"), i.alias("vec_id")))
+    lists = each.join(members.select("vec_id", "copies"), "vec_id").groupBy("_query").agg(F.flatten(F.collect_list(entries)).alias("_all"))
+    lists = lists.join(members.select(F.col("vec_id").alias("_query"), "key"), "_query")
+    mine = ids.where(query).select(F.col("vec_id").alias("query_id"), "key").join(lists, "key")
+    # a vec_id given with several vectors has one list
+    mine = mine.groupBy("query_id").agg(F.flatten(F.collect_list("_all")).alias("_all"))
+    own = F.filter("_all", lambda e: e["vec_id"] != F.col("query_id"))
+    best = mine.select("query_id", F.posexplode(F.slice(F.array_sort(F.array_distinct(own)), 1, wanted)).alias("_rank", "b"))
+    out = best.select("query_id", (F.col("_rank") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    out._curves, out._recall = start + CURVES, recall
+    return out
+
+
+def _all_blocks(rows: DataFrame, width: int, k: int) -> DataFrame:
     """The stated queries against all rows, block against block."""
     spark = rows.sparkSession
-    asked = ranked(rows.where(query).withColumn("_all", F.lit(0)), "_all", ["vec_id"], "_place")
+    asked = ranked(rows.where("asked").withColumn("_all", F.lit(0)), "_all", ["vec_id"], "_place")
     asked = _packed(asked.withColumn("group", F.floor(F.col("_place") / QUERIES).cast("int")), ["group"], "query_ids", "queries")
     asked = materialize(asked, "queries")
     groups = asked.count()

@@ -53,6 +53,21 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
 
 
+#: A matrix product rounds by its shape; this near the threshold pairs are summed one by one.
+EDGE = 1e-9
+
+
+def _linked(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which unit vectors have the threshold's cosine, the same whatever block they lie in."""
+    sims = left @ right.T
+    out = sims >= THRESHOLD
+    i, j = np.nonzero(np.abs(sims - THRESHOLD) < EDGE)
+    for at in range(0, len(i), 50_000):
+        x, y = i[at : at + 50_000], j[at : at + 50_000]
+        out[x, y] = (left[x] * right[y]).sum(axis=1) >= THRESHOLD
+    return out
+
+
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     a, b, s = (np.concatenate([x[i] for x in out]) if out else np.empty(0) for i in range(3))
     return pa.record_batch([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(s.astype(np.float64))], names=["a", "b", "sim"])
@@ -157,7 +172,7 @@ def _joined(vectors: DataFrame, parts: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 a, b = batch.column("members")[i].values, batch.column("others")[i].values
                 mine, theirs = a.field("component").to_numpy(), b.field("component").to_numpy()
-                linked = _unit(a.field("unit").to_pylist()) @ _unit(b.field("unit").to_pylist()).T >= THRESHOLD
+                linked = _linked(_unit(a.field("unit").to_pylist()), _unit(b.field("unit").to_pylist()))
                 linked &= mine[:, None] != theirs[None, :]
                 start, end = forest(linked, mine, theirs)
                 yield pa.record_batch([pa.array(start), pa.array(end)], names=["a", "b"])
@@ -180,7 +195,7 @@ def _counted(vectors: DataFrame, parts: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 a, b = batch.column("members")[i].values, batch.column("others")[i].values
                 ids, others = a.field("id").to_numpy(), b.field("id").to_numpy()
-                linked = _unit(a.field("unit").to_pylist()) @ _unit(b.field("unit").to_pylist()).T >= THRESHOLD
+                linked = _linked(_unit(a.field("unit").to_pylist()), _unit(b.field("unit").to_pylist()))
                 linked[ids[:, None] == others[None, :]] = False
                 yield pa.record_batch([pa.array(ids), pa.array(linked @ b.field("copies").to_numpy().astype(np.int64))], names=["id", "links"])
 
@@ -210,7 +225,7 @@ def _recall(vectors: DataFrame, counts: DataFrame) -> float | None:
             for g, at in groups.items():
                 if g in shared.value:
                     queries, unit = shared.value[g]
-                    linked = unit @ _unit([raw[i] for i in at]).T >= THRESHOLD
+                    linked = _linked(unit, _unit([raw[i] for i in at]))
                     linked[queries[:, None] == ids[at][None, :]] = False
                     yield pa.record_batch([pa.array(queries), pa.array(linked @ copies[at])], names=["id", "true_links"])
 
