@@ -33,8 +33,8 @@ END_ID = 0
 ROUNDS = 500
 #: Signs that may end a word; a run of them is one piece for the tokenizer's pattern.
 SIGNS = ".,!?;:#$%&*"
-#: Entries of a worker's memory of words; it starts anew beyond that.
-WORDS_KEPT = 1_000_000
+#: Entries of a worker's memory of words; beyond that only what is met again goes on into the next.
+WORDS_KEPT = 200_000
 #: Texts and characters at once: each batch's words are looked up once, so small ones cost twice the time.
 ROWS, CHARS = 4000, 8_000_000
 
@@ -48,6 +48,8 @@ class WordIds(dict):
     words; words are told apart at blanks and line ends only, and whatever else counts
     as white space stays within a word for the tokenizer to see.  Nor does it join letters
     with signs, so a word's last signs are looked up apart from the letters before them.
+    What is kept are letters in lower case, signs and other words; the many ways to write a
+    word with capitals and signs are put together anew for each slice of texts.
     """
 
     def __init__(self, path: str):
@@ -55,39 +57,56 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def learn(self, words: set[str]) -> None:
+    def learned(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each of ``words``."""
         if len(self) > WORDS_KEPT:
+            self.old = dict(self)
             self.clear()
-        bases, others, made = set(), [], []
-        for word in words.difference(self):
+        out, made, bases, others = {}, [], set(), []
+        for word in words:
+            if word in self:
+                out[word] = self[word]
+                continue
             base = word.rstrip(SIGNS)
-            if base.isalpha():
-                # Latin letters have one lower case everywhere
-                base = base.lower() if base.isascii() or max(base) < "\u0130" else base
-                if base not in self:
-                    bases.add(base)
-                made.append((word, base, word[len(base) :]))
-            else:
+            if not base.isalpha():
                 others.append(word)
+                continue
+            points = word[len(base) :]
+            # Latin letters have one lower case everywhere
+            base = base.lower() if base.isascii() or max(base) < "\u0130" else base
+            if base not in self and base in self.old:
+                self[base] = self.old[base]
+            if base in self and points in self:
+                out[word] = self[base] + self[points]
+                continue
+            if base not in self:
+                bases.add(base)
+            made.append((word, base, points))
         self._letters(list(bases))
-        self._each(others)
-        self._each([x for x in {x for _, _, x in made} if x not in self])
-        for word, base, points in made:
-            self[word] = self[base] + self[points]
+        self._each([x for x in {*others, *(x for _, _, x in made)} if x not in self])
+        out.update((word, self[word]) for word in others)
+        out.update((word, self[base] + self[points]) for word, base, points in made)
+        return out
+
+    def _encoded(self, texts: list[str], many: int) -> Iterator:
+        """Few at once: the tokenizer's results are many times as large as their ids."""
+        for i in range(0, len(texts), many):
+            yield from self.tokenizer.encode_batch_fast(texts[i : i + many], add_special_tokens=False)
 
     def _each(self, words: list[str]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+        for word, e in zip(words, self._encoded(words, 10_000), strict=True):
             self[word] = np.array(e.ids, "<u4").tobytes()
 
     def _letters(self, words: list[str], many: int = 1000) -> None:
         """Words of letters, many in one text: each ends with the only end-of-word id in it."""
         groups = [words[i : i + many] for i in range(0, len(words), many)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self._encoded([" ".join(g) for g in groups], 10), strict=True):
             ids = np.array(e.ids, "<u4")
             ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(ends) != len(group):  # a letter that turned into several characters
@@ -98,9 +117,6 @@ class WordIds(dict):
                 self[word] = data[start:end]
                 start = end
 
-    def of(self, words: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, words))
-
 
 @functools.lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
@@ -117,14 +133,18 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
     end, width = np.array([END_ID], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(tokenizer_path)
+        memory = word_ids(tokenizer_path)
         for whole in batches:
             for batch in sliced(whole, "text", CHARS):
-                texts = [words_of(t) for t in batch.column("text").to_pylist()]
-                ids.learn(set().union(*texts))
+                texts = batch.column("text").to_pylist()
+                # texts are split twice: the words of one text at a time are held
+                words: set[str] = set()
+                for text in texts:
+                    words.update(words_of(text))
+                ids = memory.learned(words)
                 out: list[list] = [[], [], [], [], []]
-                for doc_id, words in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                    data = ids.of(words) + end
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                    data = b"".join(map(ids.__getitem__, words_of(text))) + end
                     for k, at in enumerate(range(0, len(data), width)):
                         part = data[at : at + width]
                         for column, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
