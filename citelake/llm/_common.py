@@ -5,11 +5,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import functools
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,34 @@ ROW_GROUP = 16 << 20
 TEXTS = 1000
 
 _written: list[tuple[SparkSession, str]] = []
+_remembered: dict[str, Any] = {}
+
+
+def remembered(name: str, make: Callable[[], Any]) -> Any:
+    """What a process keeps for its next tasks, made by ``make``; one thing at a time.  Workers
+    outlive stages, so what one stage has left in them would be added to the memory of all later ones."""
+    if name not in _remembered:
+        if _remembered:
+            _remembered.clear()
+            give_back()
+        _remembered[name] = make()
+    return _remembered[name]
+
+
+def give_back() -> None:
+    """Return freed memory to the system.  Arrow and the C library else keep the most that a task ever took."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+@functools.lru_cache(maxsize=1)
+def _trim():
+    """``malloc_trim``, or None where the C library has no such function."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
 
 
 def work_dir(spark: SparkSession) -> str:

@@ -12,6 +12,8 @@ import sys
 
 import numpy as np
 
+from citelake.llm._common import remembered
+
 #: Kinds of characters: white space, signs, and two of words (bit 1 set).
 SPACE, SIGN, OTHER, LETTER = 0, 1, 2, 3
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -50,18 +52,16 @@ def _values() -> np.ndarray:
     return mixed(np.arange(sys.maxunicode + 1, dtype=np.uint64) + np.uint64(0xD1B54A32D192ED03))
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of the base and of its inverse modulo 2^64."""
-    if len(_powers[0]) <= n:
+    powers = remembered("powers", lambda: [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    if len(powers[0]) <= n:
         size = 1 << int(n).bit_length()
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+            powers[k] = np.multiply.accumulate(steps)
+    return powers[0], powers[1]
 
 
 def tokens(texts: list[str | None], signs: bool = True, stem: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

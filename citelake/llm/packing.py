@@ -16,7 +16,6 @@ are cut into pieces of the capacity, the last may be shorter; other columns are
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm._common import batches_of, materialize, ranked, sliced
+from citelake.llm._common import batches_of, give_back, materialize, ranked, remembered, sliced
 
 CAPACITY = 2048
 END_ID = 0
@@ -118,40 +117,46 @@ class WordIds(dict):
                 start = end
 
 
-@functools.lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """One memory of words for each worker process, for all its tasks."""
-    return WordIds(path)
+    """One memory of words for each worker process, for all its tasks until another operator's."""
+    return remembered(f"words {path}", lambda: WordIds(path))
 
 
 def words_of(text: str | None) -> list[str]:
     return text.replace("\n", " ").split(" ") if text else []
 
 
+def _pieces(batch: pa.RecordBatch, memory: WordIds, capacity: int) -> pa.RecordBatch:
+    end, width = np.array([END_ID], "<u4").tobytes(), 4 * capacity
+    texts = batch.column("text").to_pylist()
+    # texts are split twice: the words of one text at a time are held
+    words: set[str] = set()
+    for text in texts:
+        words.update(words_of(text))
+    ids = memory.learned(words)
+    out: list[list] = [[], [], [], [], []]
+    for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+        data = b"".join(map(ids.__getitem__, words_of(text))) + end
+        for k, at in enumerate(range(0, len(data), width)):
+            part = data[at : at + width]
+            for column, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                column.append(v)
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    names = ("doc_id", "piece", "start", "length", "ids_crc32")
+    return pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32."""
-    end, width = np.array([END_ID], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = word_ids(tokenizer_path)
         for whole in batches:
             for batch in sliced(whole, "text", CHARS):
-                texts = batch.column("text").to_pylist()
-                # texts are split twice: the words of one text at a time are held
-                words: set[str] = set()
-                for text in texts:
-                    words.update(words_of(text))
-                ids = memory.learned(words)
-                out: list[list] = [[], [], [], [], []]
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                    data = b"".join(map(ids.__getitem__, words_of(text))) + end
-                    for k, at in enumerate(range(0, len(data), width)):
-                        part = data[at : at + width]
-                        for column, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                            column.append(v)
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                names = ("doc_id", "piece", "start", "length", "ids_crc32")
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+                yield _pieces(batch, memory, capacity)
+            # nothing of a batch is held while the next one comes
+            whole = batch = None
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

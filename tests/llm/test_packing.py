@@ -77,3 +77,23 @@ def test_query_rows_hold_the_tokenizers_ids(spark):
 
 def test_empty_table(spark):
     assert packed(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_words_do_not_outlive_packing():
+    """A worker that goes on to another operator gives up its memory of words, and makes it anew with the same ids."""
+    import gc
+    import weakref
+
+    from citelake.llm._text import tokens
+    from citelake.llm.packing import word_ids
+
+    words = {"Hello,", "world", "it's"}
+    memory = word_ids(PATH)
+    assert word_ids(PATH) is memory
+    before, held = memory.learned(words), weakref.ref(memory)
+    del memory
+    hashes = [x.tolist() for x in tokens(["Hello, world", None])]
+    gc.collect()
+    assert held() is None
+    assert word_ids(PATH).learned(words) == before
+    assert [x.tolist() for x in tokens(["Hello, world", None])] == hashes
