@@ -146,8 +146,9 @@ def _pieces(batch: pa.RecordBatch, memory: WordIds, capacity: int) -> pa.RecordB
     return pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece of each document: doc_id, piece, start, length, ids_crc32."""
+def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, lean: bool = False) -> DataFrame:
+    """One row for each piece of each document: doc_id, piece, start, length, ids_crc32.
+    ``lean``: freed memory goes back to the system after each batch, for some time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = word_ids(tokenizer_path)
@@ -156,7 +157,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
                 yield _pieces(batch, memory, capacity)
             # nothing of a batch is held while the next one comes
             whole = batch = None
-            give_back()
+            if lean:
+                give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
@@ -290,11 +292,11 @@ def placed(plan_: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, rounds: int = ROUNDS, lean: bool = False) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     with batches_of(spark, ROWS):
-        pieces = materialize(tokenized(docs, tokenizer_path, capacity), "pieces")
+        pieces = materialize(tokenized(docs, tokenizer_path, capacity, lean), "pieces")
     # at most ``capacity`` rows, whatever the corpus
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = placed(plan(histogram, capacity, rounds))

@@ -46,7 +46,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # executors are at their largest here, after all other stages
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"), lean=True)
 
 
 STAGES = [
