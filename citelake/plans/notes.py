@@ -23,9 +23,17 @@ def orders_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows in a fixed number of partitions by ``key``, several for each core.  Reading a note takes far
+    longer than moving its integers; by their bytes or a file's row groups a few tasks would read all notes."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, key)
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, note_pos, key, text and the integers, one row for each order."""
-    rows = orders_numbers(spark, sf_dir)
+    rows = spread(orders_numbers(spark, sf_dir), "doc_id")
     case = F.format_string("C-%d/%d", F.col("num"), F.col("yy"))
     year = F.col("yy") + 2000
     texts = [

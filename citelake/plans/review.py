@@ -9,7 +9,7 @@ from citelake.operators import review as r
 from citelake.operators.acts import provisions
 from citelake.operators.detect import mentions
 from citelake.operators.passages import GAP, carriers, locator_label, sliced
-from citelake.plans.notes import orders_numbers
+from citelake.plans.notes import orders_numbers, spread
 from citelake.plans.registry import query, table
 from citelake.sources import notes as sources
 
@@ -158,7 +158,7 @@ def e11_drafting(spark, sf_dir):
 
 
 def _read(rows, text):
-    return mentions(rows.select(F.col("key").alias("doc_id"), F.lit(1).alias("note_pos"), text.alias("text")))
+    return mentions(spread(rows, "key").select(F.col("key").alias("doc_id"), F.lit(1).alias("note_pos"), text.alias("text")))
 
 
 # joins and alignment
